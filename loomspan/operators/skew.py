@@ -1,0 +1,21 @@
+"""Hot keys: which keys are too large for one task, found by a pre-aggregated count."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hot_keys(df: DataFrame, key: str, floor: int = 200_000, share: float = 1e-3) -> list:
+    """Keys with more than max(floor, share * rows) rows; null keys never count.
+
+    The list has at most 1/share entries whatever the input, so it may go to
+    the driver. Rows are counted map-side before the shuffle. An empty table
+    gives an empty list.
+    """
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    big = per.where(F.col("n") > floor).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).first()
+    if not big["k"]:
+        return []
+    total = df.count()
+    return [r[key] for r in per.where(F.col("n") > max(floor, share * total)).select(key).collect()]

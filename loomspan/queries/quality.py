@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import asof, profile, reconcile, trailing
+from loomspan.operators import asof, profile, reconcile, spikes, trailing, units
+from loomspan.queries import quality_sql as sql
 from loomspan.queries.common import table, ymd
 
 HEALTH_FIELDS = {
@@ -92,3 +93,24 @@ def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _trailing(spark, sf_dir)
     return t.where("total_7 = 0 and total_30 > 0").select("ts_code", ymd("trade_date").alias("ymd"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = table(spark, sf_dir, "feeds")
+    d = units.common_units_daily(table(spark, sf_dir, "daily"), feeds)
+    b = units.common_units_value(table(spark, sf_dir, "daily_basic"), feeds)
+    cell = lambda f, p: F.when(F.col(p) != 0, F.lit(f))
+    odd = d.select("row_id", F.explode(F.array_compact(F.array(cell("vol", "vol_power"), cell("amount", "amount_power")))).alias("field"))
+    return odd.select(F.lit("daily").alias("tbl"), "row_id", "field").unionByName(b.where("mv_power <> 0").select(F.lit("daily_basic").alias("tbl"), "row_id", F.lit("total_mv").alias("field")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds")).select("row_id", "field").distinct()
+
+
+def p5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p3_found, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
+ORACLE = {"p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}

@@ -189,16 +189,16 @@ def simulate(prices: DataFrame, targets: DataFrame, decisions: DataFrame, cash:
                 need = sum(q * px[c] * (1 + costs.slippage) for c, q in buys.items())
                 scale = min(1.0, acc.cash / need) if need > 0 else 0.0
                 for c, q in buys.items():
-                    q = int(q * scale) // lot * lot
-                    while q > 0:
-                        gross = q * px[c] * (1 + costs.slippage)
+                    unit = px[c] * (1 + costs.slippage)
+                    # what the cash pays for, by the rate and with the least commission
+                    most = min((acc.cash + 1e-9) / (unit * (1 + costs.commission + costs.transfer)), (acc.cash - costs.min_commission) / (unit * (1 + costs.transfer)))
+                    q = int(min(q * scale, max(most, 0.0))) // lot * lot
+                    if q > 0:
+                        gross = q * unit
                         fee = max(gross * costs.commission, costs.min_commission) + gross * costs.transfer
-                        if gross + fee <= acc.cash + 1e-9:
-                            acc.cash -= gross + fee
-                            fees += fee
-                            acc.held[c] = acc.held.get(c, 0) + q
-                            break
-                        q -= lot
+                        acc.cash -= gross + fee
+                        fees += fee
+                        acc.held[c] = acc.held.get(c, 0) + q
             last.update({c: v for c, v in mk.items() if v and v > 0})
             if started:
                 nav = acc.cash + sum(q * last.get(c, px.get(c, 0.0)) for c, q in acc.held.items())

@@ -245,7 +245,7 @@ class _Compiler:
                 raise FormulaError(f"{name}: a window of {w} looks ahead or is none")
             if w == 0 and name not in ("ts_delay", "ts_REF", "ts_delta", "ts_DIFF", "ROUND2"):
                 raise FormulaError(f"{name}: a window of 0 holds nothing")
-        if op.kind == "im" and (isinstance(args[1], Column) or int(args[1]) < 1):
+        if op.kind == "im" and len(args) > 1 and (isinstance(args[1], Column) or int(args[1]) < 1):
             raise FormulaError(f"{name}: the window must be a positive number")
         if op.masked and self.ctx.mask is not None:
             args = [F.when(self.ctx.mask, col(a)) if i in op.masked and isinstance(a, Column) else a for i, a in enumerate(args)]

@@ -13,7 +13,7 @@ r5 as (partition by code order by date rows between 4 preceding and current row)
 r20 as (partition by code order by date rows between 19 preceding and current row), r14 as (partition by code order by date rows between 13 preceding and current row),
 cum as (partition by code order by date rows unbounded preceding), cs as (partition by date), gp as (partition by date, industry)"""
 HELPERS = """x0 as (select pm.*, industry, total_mv, lag(close) over (partition by code order by date) as pc, lag(high) over (partition by code order by date) as ph, lag(low) over (partition by code order by date) as pl, lag(volume) over (partition by code order by date) as pv,
-row_number() over (partition by code order by date) as rn, (high + low + close) / 3 as tp from pm join at using (code)),
+row_number() over (partition by code order by date) as rn, (high + low + close) / 3 as tp from pm join att using (code)),
 x as (select *, close - pc as d1, close / pc - 1 as ret, greatest(high - low, abs(high - pc), abs(low - pc)) as tr, avg(close) over (partition by date) as m_close, case when close > open then 1 else 0 end as up from x0)"""
 
 
@@ -46,7 +46,7 @@ BUNDLES: dict[str, list[tuple[str, str, str]]] = {
     ],
     "op_ts_rolling": [
         ("a", "ts_mean(close, 5)", g("avg(close) over r5", 5)), ("b", "ts_sum(volume, 5)", g("sum(volume) over r5", 5)), ("c", "ts_max(high, 5)", g("max(high) over r5", 5)), ("d", "ts_min(low, 10)", g("min(low) over r10", 10)),
-        ("e", "ts_std_dev(close, 5)", g("stddev_samp(close) over r5", 5)), ("f", "ts_VARP(close, 10)", g("var_pop(close) over r10", 10)), ("g", "ts_median(close, 5)", g("quantile_cont(close, 0.5) over r5", 5)), ("h", "ts_percentage(close, 10, 0.25)", g("quantile_cont(close, 0.25) over r10", 10)),
+        ("e", "ts_std_dev(close, 5)", g("stddev_samp(close) over r5", 5)), ("f", "ts_VARP(close / open, 10)", g("var_pop(close / open) over r10", 10)), ("g", "ts_median(close, 5)", g("quantile_cont(close, 0.5) over r5", 5)), ("h", "ts_percentage(close, 10, 0.25)", g("quantile_cont(close, 0.25) over r10", 10)),
         ("i", "ts_zscore(close, 10)", g("(close - avg(close) over r10) / nullif(stddev_samp(close) over r10, 0)", 10)), ("j", "ts_ir(close, 10)", g("avg(close) over r10 / stddev_samp(close) over r10", 10)), ("k", "ts_max_diff(close, 5)", g("close - max(close) over r5", 5)),
         ("l", "ts_scale(close, 10)", g("(close - min(close) over r10) / (max(close) over r10 - min(close) over r10)", 10)), ("m", "adv20(volume)", g("avg(volume) over r20", 20)), ("n", "ts_product(1 + returns(close) / 10, 5)", "case when count(pc) over r5 = 5 then product(1 + ret / 10) over r5 end"),
         ("o", "ts_l2_norm(close, 5)", g("sqrt(sum(close * close) over r5)", 5)),
@@ -74,7 +74,7 @@ BUNDLES: dict[str, list[tuple[str, str, str]]] = {
     ],
     "op_ta": [
         ("a", "ts_WILLR(high, low, close, 10)", g("(max(high) over r10 - close) / (max(high) over r10 - min(low) over r10) * -100", 10)), ("b", "ts_RSV(high, low, close, 10)", g("(close - min(low) over r10) / (max(high) over r10 - min(low) over r10) * 100", 10)), ("c", "ts_BIAS(close, 5)", g("(close / avg(close) over r5 - 1) * 100", 5)),
-        ("d", "ts_BOLL(close, 20, 2)", g("avg(close) over r20 + 2 * stddev_samp(close) over r20", 20)), ("e", "ts_PSY(close, 10)", "case when count(*) over r10 = 10 then sum(case when d1 > 0 then 1 else 0 end) over r10 * 10.0 end"), ("f", "ts_TR(high, low, close)", "case when pc is null then high - low else tr end"), ("g", "ts_MIDPRICE(high, low, 10)", g("(max(high) over r10 + min(low) over r10) / 2", 10)),
+        ("d", "ts_BOLL(close, 20, 2)", g("avg(close) over r20 + 2 * stddev_samp(close) over r20", 20)), ("e", "ts_PSY(close, 10)", "case when count(*) over r10 = 10 then sum(case when d1 > 0 then 1 else 0 end) over r10 * 10.0 end"), ("f", "ts_TR(high, low, close)", "case when pc is null then high - low else tr end"), ("g", "ts_MIDPRICE(high, low, 10) / close", g("(max(high) over r10 + min(low) over r10) / 2 / close", 10)),
         ("h", "ts_RSI(close, 6)", f"case when d1 is not null then 100 * {ema('greatest(d1, 0)', '1.0 / 6').replace('filter (where greatest(d1, 0) is not null)', 'filter (where d1 is not null)')} / ({ema('greatest(d1, 0)', '1.0 / 6').replace('filter (where greatest(d1, 0) is not null)', 'filter (where d1 is not null)')} + {ema('greatest(-d1, 0)', '1.0 / 6').replace('filter (where greatest(-d1, 0) is not null)', 'filter (where d1 is not null)')}) end"),
     ],
     "op_cs_moments": [

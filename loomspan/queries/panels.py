@@ -44,12 +44,12 @@ def intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bars_sql(day: str) -> str:
     order = ", ".join(ORDER)
-    return f"""k as (select l_suppkey::varchar as code, {day} as date, l_extendedprice / l_quantity as price, l_quantity, l_extendedprice, l_discount,
+    return f"""pk as (select l_suppkey::varchar as code, {day} as date, l_extendedprice / l_quantity as price, l_quantity, l_extendedprice, l_discount,
   row_number() over (partition by l_suppkey, {day} order by {order}) as i, row_number() over (partition by l_suppkey, {day} order by {order.replace(',', ' desc,')} desc) as j from lineitem),
-pm as (select code, date, max(price) filter (where i = 1) as open, max(price) as high, min(price) as low, max(price) filter (where j = 1) as close, sum(l_quantity) as volume, sum(l_extendedprice) as amount, 1 + avg(l_discount) as adj_factor from k group by 1, 2)"""
+pm as (select code, date, max(price) filter (where i = 1) as open, max(price) as high, min(price) as low, max(price) filter (where j = 1) as close, sum(l_quantity) as volume, sum(l_extendedprice) as amount, 1 + avg(l_discount) as adj_factor from pk group by 1, 2)"""
 
 
 DAILY = _bars_sql("l_shipdate::date")
 MONTHLY = _bars_sql("date_trunc('month', l_shipdate)::date")
-ATTR = "at as (select s_suppkey::varchar as code, n_name as industry, r_name as region, s_acctbal as total_mv from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
+ATTR = "att as (select s_suppkey::varchar as code, n_name as industry, r_name as region, s_acctbal as total_mv from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
 INTRADAY = "b as (select user_id::varchar as code, ts::date as date, row_number() over (partition by user_id, ts::date order by ts, event_id) - 1 as minute_index, value as close, value as amount, 1.0 as volume from events)"

@@ -9,10 +9,13 @@ fit on a bounded sample of the labelled documents, and the fit is applied to all
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,46 +26,124 @@ FEATURES = (*[f"rank_{round(100 * s)}" for s in SHARES], "word_letters", "senten
 MIN_WORDS = 5
 
 
-def prose(text: Column) -> Column:
+TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};")
+NO_PROSE = re.compile(r"^\s*(?:formula|code|sql|columns?)\s*[:=]|[A-Za-z0-9_],[A-Za-z0-9_]+,|\|.*\||\t.*\t")
+WORD = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Z]?[a-z]+(?![A-Za-z0-9_])")
+SENTENCE_END = re.compile(r"(?<=[A-Za-z%)])[.!?;](?=\s|$)|\n")
+CJK = re.compile(r"[\u3400-\u9fff]")
+
+
+def prose(text: str) -> str:
     """The text without tags, entities and lines that are no prose: fewer than five words, column lists, number rows, formulas."""
-    t = F.regexp_replace(text, r"<[/!]?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};", " ")
-    lines = F.filter(
-        F.split(t, r"\r?\n"),
-        lambda x: x.rlike(r"(?:[A-Za-z]{1,30}[^A-Za-z]{1,20}){4}[A-Za-z]") & ~x.rlike(r"^\s*(?:formula|code|sql|columns?)\s*[:=]|[A-Za-z0-9_],[A-Za-z0-9_]+,|\|.*\||\t.*\t"),
-    )
-    return F.array_join(lines, "\n")
+    if "<" in text or "&" in text:
+        text = TAG.sub(" ", text)
+    return "\n".join(x for x in text.split("\n") if x.count(" ") >= 4 and not NO_PROSE.search(x))
 
 
-def features(docs: DataFrame, doc: str, text: str, max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """(doc, n_words, FEATURES) of each document row that is English prose by its text.
+def running_words(text: str | None) -> tuple[list[str], int, int, int] | None:
+    """(words, tokens, sentences, commas) of a text's prose; None unless it is English.
 
-    English: at least MIN_WORDS words of Latin letters and fewer CJK characters than words. Null, empty
-    and other texts are left out; rows with equal doc would merge, so `doc` must be unique.
-    A word counts in running text if it is written in letters only, its first perhaps a capital;
-    of capitalised words only those that also occur in lower case (names fall away). Words of
-    equal frequency share their mean rank. Nothing is sampled: ranks are of all documents.
+    English: at least MIN_WORDS words of Latin letters and fewer CJK characters than words.
+    A word is in letters only, its first perhaps a capital.
     """
-    d = docs.select(F.col(doc).alias("doc"), prose(F.col(text)).alias("p"))
-    raw = F.regexp_extract_all("p", F.lit(r"(?<![A-Za-z0-9_.\-])([A-Z]?[a-z]+)(?![A-Za-z0-9_])"), 1)
-    d = d.withColumn("w", raw).where((F.size("w") >= MIN_WORDS) & (F.length(F.regexp_replace("p", r"[^㐀-鿿]", "")) < F.size("w")))
-    sents = F.size(F.filter(F.split("p", r"(?<=[A-Za-z%)])[.!?;](?:\s|$)|\n+"), lambda x: x.rlike(r"\S+\s+\S+\s+\S")))
-    d = d.select("doc", "w", F.greatest(sents, F.lit(1)).alias("n_sents"), F.size(F.split("p", r"\s+")).alias("n_tokens"), F.length(F.regexp_replace("p", r"[^,]", "")).alias("n_commas"))
-    # word counts: combined map-side, then per distinct count; no global sort of the vocabulary
-    # (the one window without a key runs over distinct counts: at most sqrt(2 * running words) rows)
-    counts = d.select(F.explode("w").alias("word")).where(F.col("word").rlike("^[a-z]")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if not text:
+        return None
+    p = prose(text)
+    w = WORD.findall(p)
+    if len(w) < MIN_WORDS or (not p.isascii() and len(CJK.findall(p)) >= len(w)):
+        return None
+    sents = sum(len(x.split(None, 2)) > 2 for x in SENTENCE_END.split(p))
+    return w, len(p.split()), max(1, sents), p.count(",")
+
+
+def coverage(ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log(1 + rank) of the smallest vocabulary that covers each of SHARES of the running words."""
+    o = np.argsort(ranks, kind="stable")
+    c = np.cumsum(weights[o])
+    at = np.searchsorted(c, np.ceil(np.array(SHARES) * c[-1] - 1e-9).clip(1))
+    return np.log1p(ranks[o][np.minimum(at, len(o) - 1)])
+
+
+def word_ranks(docs: DataFrame, text: str) -> DataFrame:
+    """(word, rank) of all words that occur in lower case, over all documents; equal counts share their mean rank.
+
+    Counted per Arrow batch, then map-side and after the shuffle. No global sort of the vocabulary:
+    the one window without a key runs over distinct counts, at most sqrt(2 * running words) rows.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c: Counter = Counter()
+            for t in b["t"]:
+                got = running_words(t)
+                if got:
+                    c.update(got[0])
+            low = [(w, n) for w, n in c.items() if w[0].islower()]
+            yield pd.DataFrame({"word": [w for w, _ in low], "n": np.array([n for _, n in low], np.int64)})
+
+    counts = docs.select(F.col(text).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = checkpoint(counts)
     tiers = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.join(tiers.select("n", (F.coalesce(above, F.lit(0)) + (F.col("words") + 1) / 2).alias("rank")), "n").select("word", F.col("rank").cast("float").alias("rank"))
-    if counts.count() <= max_broadcast_words:
-        ranks = F.broadcast(ranks)
-    running = d.select("doc", "n_sents", "n_tokens", "n_commas", F.explode("w").alias("v")).select("*", F.lower("v").alias("word")).drop("v")
-    per = running.join(ranks, "word").groupBy("doc").agg(
-        F.array_sort(F.collect_list("rank")).alias("r"), F.avg(F.length("word")).alias("word_letters"), F.first("n_sents").alias("n_sents"), F.first("n_tokens").alias("n_tokens"), F.first("n_commas").alias("n_commas")
-    )
-    n = F.size("r")
-    cover = [F.log1p(F.element_at("r", F.greatest(F.ceil(n * s), F.lit(1)).cast("int")).cast("double")).alias(f"rank_{round(100 * s)}") for s in SHARES]
-    return per.where(n >= MIN_WORDS).select("doc", n.alias("n_words"), *cover, "word_letters", F.log1p(F.col("n_tokens") / F.col("n_sents")).alias("sentence_words"), (F.col("n_commas") / F.col("n_sents")).alias("commas"))
+    return counts.join(tiers.select("n", (F.coalesce(above, F.lit(0)) + (F.col("words") + 1) / 2).alias("rank")), "n").select("word", "rank")
+
+
+def features(docs: DataFrame, doc: str, text: str, max_broadcast_words: int = 500_000) -> DataFrame:
+    """(doc, n_words, FEATURES) of each document row that is English prose by its text.
+
+    Null, empty and other texts are left out. Of capitalised words only those that also occur in
+    lower case count (names fall away). Nothing is sampled: ranks are of all documents. The
+    vocabulary is broadcast up to `max_broadcast_words`; a larger one is joined by shuffle, with the same result.
+    """
+    ranks = word_ranks(docs, text)
+    kind = docs.select(F.col(doc)).dtypes[0][1]
+    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("t"))
+    schema = f"doc {kind}, n_words int, " + ", ".join(f"{f} double" for f in FEATURES)
+    cols = ["doc", "n_words", *FEATURES]
+
+    def row(key, w: np.ndarray, r: np.ndarray, letters: float, tokens: int, sents: int, commas: int) -> tuple | None:
+        n = int(w.sum())
+        return None if n < MIN_WORDS else (key, n, *coverage(r, w), letters / n, float(np.log1p(tokens / sents)), commas / sents)
+
+    if ranks.limit(max_broadcast_words + 1).count() <= max_broadcast_words:
+        table = docs.sparkSession.sparkContext.broadcast({r["word"]: r["rank"] for r in ranks.collect()})
+
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rank = table.value
+            for b in batches:
+                out = []
+                for key, t in zip(b["doc"], b["t"], strict=True):
+                    got = running_words(t)
+                    if got:
+                        known = [(r, len(w)) for w in got[0] if (r := rank.get(w.lower())) is not None]
+                        if known:
+                            a = np.array(known, float)
+                            out.append(row(key, np.ones(len(a)), a[:, 0], a[:, 1].sum(), *got[1:]))
+                yield pd.DataFrame([x for x in out if x], columns=cols)
+
+        return d.mapInPandas(measure, schema)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, (key, t) in enumerate(zip(b["doc"], b["t"], strict=True)):
+                got = running_words(t)
+                if got:
+                    out += [(key, w, n, *got[1:]) for w, n in Counter(x.lower() for x in got[0]).items()]
+            yield pd.DataFrame(out, columns=["doc", "word", "n", "tokens", "sents", "commas"])
+
+    words = d.mapInPandas(spread, f"doc {kind}, word string, n long, tokens long, sents long, commas long")
+    per = words.join(ranks, "word").groupBy("doc", "tokens", "sents", "commas").agg(F.collect_list(F.struct("rank", "n", F.length("word").alias("len"))).alias("ws"))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, tokens, sents, commas, ws in zip(b["doc"], b["tokens"], b["sents"], b["commas"], b["ws"], strict=True):
+                a = np.array([(x["rank"], x["n"], x["len"]) for x in ws], float)
+                out.append(row(key, a[:, 1], a[:, 0], (a[:, 1] * a[:, 2]).sum(), tokens, sents, commas))
+            yield pd.DataFrame([x for x in out if x], columns=cols)
+
+    return per.mapInPandas(gather, schema)
 
 
 @dataclass(frozen=True)

@@ -195,8 +195,8 @@ def stable_rank(c: Context, x, pct=True, tie_ulps=4) -> Column:
     cw = Window.partitionBy(*part, chain)
     values = F.array_sort(F.collect_set(x).over(cw))
     lim = lambda a: a + int(tie_ulps) * step(a)
-    start = F.struct(F.lit(float("-inf")).alias("a"), F.lit(-1).alias("k"))
-    grown = lambda acc, v: F.when(v <= lim(acc["a"]), F.struct(acc["a"].alias("a"), acc["k"].alias("k"))).otherwise(F.struct(v.alias("a"), (acc["k"] + 1).alias("k")))
+    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(-1).alias("k"))
+    grown = lambda acc, v: F.when(acc["a"].isNotNull() & (v <= lim(acc["a"])), F.struct(acc["a"].alias("a"), acc["k"].alias("k"))).otherwise(F.struct(v.alias("a"), (acc["k"] + 1).alias("k")))
     sub = F.aggregate(F.filter(values, lambda v: v <= x), start, grown)["k"]
     level = F.dense_rank().over(Window.partitionBy(*part).orderBy(chain, sub)) - 1
     if not pct:

@@ -143,7 +143,9 @@ def load_departures(
         .withColumn("d_neg", F.col("neg_share") - med(F.col("neg_share")))
         .withColumn("d_top", F.col("top_share") - med(F.col("top_share")))
         .withColumn("z_level", (F.col("med") - med(F.col("med"))) / F.col("_miqr"))
-        .withColumn("r_spread", F.log((F.col("_iqr") + F.col("_miqr") * 1e-3) / F.col("_miqr")))
+        .withColumn("_m0", med(F.col("_iqr")))
+        .withColumn("_eps", F.greatest(F.col("_m0") * 1e-3, F.abs(med(F.col("med"))) * 1e-4, F.lit(1e-12)))
+        .withColumn("r_spread", F.log((F.col("_iqr") + F.col("_eps")) / (F.col("_m0") + F.col("_eps"))))
     )
     # shares of the segment's other loads: the sum over its loads less the load's own
     total = mine_patterns(profile, segment).groupBy(segment, "field").agg(F.map_from_entries(F.collect_list(F.struct("mask", F.col("mean_share") * F.col("loads")))).alias("_sum"), F.first("loads").alias("_n"))
@@ -163,7 +165,7 @@ def load_departures(
 
     div = F.aggregate(F.transform(F.map_keys("_b"), half), F.lit(0.0), lambda a, b: a + b)
     rare = F.aggregate(F.map_values(F.map_filter("_m", lambda k, _: F.coalesce(F.try_element_at(F.col("_b"), k), F.lit(0.0)) < 0.05)), F.lit(0.0), lambda a, b: a + b)
-    p = p.withColumn("mask_div", F.when((F.col("_tm") > 0) & (F.col("_tb") > 0), div).otherwise(0.0)).withColumn("rare_share", rare)
+    p = p.withColumn("mask_div", F.when((F.col("_tm") > 0) & (F.col("_tb") > 0), div).otherwise(0.0)).withColumn("rare_share", F.when(F.col("_b").isNotNull(), rare).otherwise(0.0))
     big = lambda c, lim: F.coalesce(F.abs(F.col(c)) > lim, F.lit(False))
     numeric = F.col("med").isNotNull()
     departs = (
@@ -177,4 +179,4 @@ def load_departures(
         | (~numeric & (F.coalesce(F.col("rare_share"), F.lit(0.0)) > rare_jump))
         | (F.col("rare_share") > rare_jump) & (F.col("mask_div") > divergence)
     )
-    return p.withColumn("departs", departs).drop("_iqr", "_miqr", "_sum", "_n", "_base", "_m", "_b", "_tm", "_tb")
+    return p.withColumn("departs", departs).drop("_iqr", "_miqr", "_m0", "_eps", "_sum", "_n", "_base", "_m", "_b", "_tm", "_tb")

@@ -85,7 +85,7 @@ def trailing_totals(
             days = start + np.arange(tile_days)
             inside = (days[None, :] >= lo[:, None]) & (days[None, :] <= hi[:, None])
             e, j = np.nonzero(inside)
-            res = {entity: ents[e], day: pd.to_datetime(days[j], unit="D").date if len(j) else []}
+            res = {entity: ents[e], day: days[j].astype("datetime64[D]").astype("datetime64[ns]")}
             for w, op in zip(windows, ops, strict=True):
                 n = has @ op
                 res[f"total_{w}"] = (tot @ op)[e, j]

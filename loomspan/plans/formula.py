@@ -277,10 +277,6 @@ class _Compiler:
         self.defs[f.name] = ([a.arg for a in f.args.args], [self.expr(d) for d in f.args.defaults], f.body[0].value)
 
 
-def returns_of(v: object) -> str:
-    return "struct" if isinstance(v, Column) and str(v).startswith("Column<'struct(") else "scalar"
-
-
 def compute(
     df: DataFrame,
     formula: str,
@@ -307,9 +303,10 @@ def compute(
     for n in names:
         if n not in got:
             raise FormulaError(f"output {n!r} is not assigned")
-        if returns_of(got[n]) != "scalar":
-            raise FormulaError(f"output {n!r} is a struct; take one of its fields with a plug-in operator")
     df = run_stages(df, ctx)
+    for n, t in df.select([col(got[n]).alias(n) for n in names]).dtypes:
+        if t.startswith(("struct", "array", "map")):
+            raise FormulaError(f"output {n!r} is a {t.split('<')[0]}; take one of its fields with a plug-in operator")
     keys = [code, date, *([minute] if minute else []), *keep]
     return df.select(*[F.col(k) for k in keys], *[_double(got[n]).alias(n) for n in names])
 

@@ -35,31 +35,37 @@ def replay_fifo(events: DataFrame, code: str = "code", day: str = "date") -> Dat
     """Queue position by order: (code, day, id, side, price, ahead, filled, left, lifetime_ms).
 
     ahead: quantity before the order at its level when it came. Exact FIFO state is sequential within
-    one (code, day); those groups run in parallel.
+    one (code, day); sorted batches hold many of those groups, so small ones cost no task each.
     """
+    from loomspan.operators.units import by_entity
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_p=g["kind"].map(PRIORITY)).sort_values(["ms", "_p", "seq"], kind="stable")
+        out: list = []
         level: dict = {}
         orders: dict = {}
-        for r in g.itertuples():
-            if r.kind == ADD:
-                q = level.get((r.side, r.price), 0)
-                orders[r.id] = [r.side, r.price, q, 0, r.qty, r.ms, None]
-                level[(r.side, r.price)] = q + r.qty
-            elif r.id in orders:
-                o = orders[r.id]
-                q = min(r.qty, o[4])
-                o[4] -= q
-                o[3] += q if r.kind == FILL else 0
-                level[(o[0], o[1])] -= q
-                if o[4] == 0 and o[6] is None:
-                    o[6] = r.ms
-        key = g.iloc[0]
-        return pd.DataFrame([(key[code], key[day], i, *o[:5], None if o[6] is None else float(o[6] - o[5])) for i, o in orders.items()], columns=["c", "d", "id", "side", "price", "ahead", "filled", "left", "lifetime_ms"])
+        now = None
+        for c, d, ms, kind, side, price, qty, oid in zip(g["c"], g["d"], g["ms"], g["kind"], g["side"], g["price"], g["qty"], g["id"], strict=True):
+            if now != (c, d):
+                level, orders, now = {}, {}, (c, d)
+            if kind == ADD:
+                q = level.get((side, price), 0)
+                o = orders[oid] = [c, d, oid, side, price, q, 0, qty, None, ms]
+                out.append(o)
+                level[(side, price)] = q + qty
+            elif oid in orders:
+                o = orders[oid]
+                q = min(qty, o[7])
+                o[7] -= q
+                o[6] += q if kind == FILL else 0
+                level[(o[3], o[4])] -= q
+                if o[7] == 0 and o[8] is None:
+                    o[8] = float(ms - o[9])
+        return pd.DataFrame([o[:9] for o in out], columns=["c", "d", "id", "side", "price", "ahead", "filled", "left", "lifetime_ms"])
 
     t = dict(events.dtypes)
-    out = events.groupBy(code, day).applyInPandas(run, f"c {t[code]}, d {t[day]}, id {t['id']}, side string, price {t['price']}, ahead {t['qty']}, filled {t['qty']}, left {t['qty']}, lifetime_ms double")
+    fed = events.select(F.col(code).alias("c"), F.col(day).alias("d"), "ms", "seq", "kind", "side", "price", "qty", "id", order_priority(F.col("kind")).alias("_p"))
+    fed = fed.repartition("c", "d").sortWithinPartitions("c", "d", "ms", "_p", "seq")
+    out = fed.mapInPandas(lambda bs: by_entity(bs, ["c", "d"], run), f"c {t[code]}, d {t[day]}, id {t['id']}, side string, price {t['price']}, ahead {t['qty']}, filled {t['qty']}, left {t['qty']}, lifetime_ms double")
     return out.withColumnRenamed("c", code).withColumnRenamed("d", day)
 
 

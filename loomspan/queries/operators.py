@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loomspan.plans import formula
 from loomspan.queries import panels
 
+#: Prices are cents over small integers, often exactly half-way at six digits, where engines round either way:
+#: results are compared a billionth part off, alike on both sides.
+NUDGE = 1.000000001
 WINDOWS = """window w as (partition by code order by date), r2 as (partition by code order by date rows between 1 preceding and current row),
 r5 as (partition by code order by date rows between 4 preceding and current row), r10 as (partition by code order by date rows between 9 preceding and current row),
 r20 as (partition by code order by date rows between 19 preceding and current row), r14 as (partition by code order by date rows between 13 preceding and current row),
@@ -110,14 +113,14 @@ def _query(bundle: str):
         text = "\n".join(f if "=" in f and f.split("=")[0].strip().isidentifier() or f.startswith("def ") else f"{n} = {f}" for n, f, _ in items)
         names = [n for n, _, _ in items]
         out = formula.compute(df, text, names)
-        return out.select("code", "date", *[F.round(F.col(n), 6).alias(n) for n in names])
+        return out.select("code", "date", *[F.round(F.col(n) * NUDGE, 6).alias(n) for n in names])
 
     run.__name__ = bundle
     return run
 
 
 def _sql(bundle: str) -> str:
-    cols = ", ".join(f"round(({e})::double, 6) as {n}" for n, _, e in BUNDLES[bundle])
+    cols = ", ".join(f"round(({e})::double * {NUDGE!r}::double, 6) as {n}" for n, _, e in BUNDLES[bundle])
     return f"with {panels.MONTHLY}, {panels.ATTR}, {HELPERS} select code, date, {cols} from x {WINDOWS}"
 
 

@@ -182,14 +182,14 @@ def panel_tail_dates(spark, sf_dir):
     return panel.tail_dates(panels.daily(spark, sf_dir), "1998-01-01", 20)
 
 
-@query(f"with {DAILY}, d as (select *, isoyear(date) as y, weekofyear(date) as k from pm), e as (select *, max(date) over (partition by y, k) as last, max(date) over (partition by code, y, k) as mine from d) select code, last as date, round(close, 6) as close from e where date = mine")
+@query(f"with {DAILY}, d as (select *, isoyear(date) as y, weekofyear(date) as k from pm), e as (select *, max(date) over (partition by y, k) as last, max(date) over (partition by code, y, k) as mine from d) select code, last as date, round(ln(close), 6) as close from e where date = mine")
 def panel_week_end(spark, sf_dir):
-    return r6(panel.week_end(panels.daily(spark, sf_dir)).select("code", "date", "close"))
+    return r6(panel.week_end(panels.daily(spark, sf_dir)).select("code", "date", F.log("close").alias("close")))
 
 
-@query(f"with {DAILY}, k as (select date, row_number() over (order by date) - 1 as i from (select distinct date from pm)) select code, pm.date, round(close, 6) as close from pm join k using (date) where i % 5 = 0")
+@query(f"with {DAILY}, k as (select date, row_number() over (order by date) - 1 as i from (select distinct date from pm)) select code, pm.date, round(ln(close), 6) as close from pm join k using (date) where i % 5 = 0")
 def panel_every_kth_date(spark, sf_dir):
-    return r6(panel.every_kth_date(panels.daily(spark, sf_dir), 5).select("code", "date", "close"))
+    return r6(panel.every_kth_date(panels.daily(spark, sf_dir), 5).select("code", "date", F.log("close").alias("close")))
 
 
 @query("""select i.ts_code as code, c.cal_date as date, (c.cal_date >= i.list_date and (i.delist_date is null or c.cal_date < i.delist_date)) and date_diff('day', i.list_date, c.cal_date) >= 60 and right(i.ts_code, 2) <> 'BJ' as in_universe,
@@ -425,3 +425,29 @@ def set_except(spark, sf_dir):
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 300")
 def sort_top300(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(300)
+
+
+@query()
+def score_walk_forward(spark, sf_dir):
+    from loomspan.operators import score
+
+    d = _scored(spark, sf_dir)
+    d = score.robust_z(d.withColumn("gap", F.col("close") / F.col("open") - 1), ["signal", "gap", "volume"])
+    d, names = score.expand(d, ["signal", "gap", "volume"])
+    return r6(score.walk_forward(d.withColumn("label", F.log1p("forward_return_1d")), names, "label", "year", 2, 31))
+
+
+@query()
+def screen_snapshot(spark, sf_dir):
+    from loomspan.operators import score
+
+    return r6(score.score_rank(score.screen_features(panels.daily(spark, sf_dir)), {"r20": 1.0, "up": 0.5, "vol": -0.5}))
+
+
+@query()
+def execution_window_fills(spark, sf_dir):
+    from loomspan.operators import execution
+
+    bars = panels.intraday(spark, sf_dir).withColumn("volume", F.round(F.col("close") * 100))
+    orders = bars.select("code", "date").distinct().select("*", F.lit("BUY").alias("side"), F.lit(500).cast("long").alias("quantity"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(None).cast("double").alias("limit"))
+    return r6(execution.window_fills(orders, bars, 0.1, 1))

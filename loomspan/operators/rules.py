@@ -112,3 +112,44 @@ def gaps(df: DataFrame, days: DataFrame, code: str = "code", date: str = "date")
     w = Window.partitionBy(code).orderBy("_i")
     d = df.select(code, date).distinct().join(F.broadcast(idx), date).withColumn("_n", F.lead("_i").over(w)).withColumn("_to", F.lead(date).over(w))
     return d.where(F.col("_n") > F.col("_i") + 1).select(code, F.col(date).alias("after"), F.col("_to").alias("before"), (F.col("_n") - F.col("_i") - 1).alias("n_missing"))
+
+
+def check_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys that come more than once, with how many distinct payloads they carry."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*rest)).alias("payloads")).where("n > 1")
+
+
+def compare_ohlc(a: DataFrame, b: DataFrame, key: Sequence[str], tolerance: float = 0.005, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    from loomspan.operators import reconcile
+
+    return reconcile.compare(a, b, key, ["open", "high", "low", "close"], tolerance, names=names)
+
+
+def drift(old: DataFrame, new: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """Population stability index of each column between two loads, over the old load's quantile bins."""
+    cuts = old.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10_000).alias(c) for c in cols]).first()
+    out = None
+    for c in cols:
+        b = F.lit(0)
+        for q in cuts[c] or []:
+            b = b + F.when(F.col(c) > q, 1).otherwise(0)
+        side = lambda d, n: d.where(F.col(c).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias(n))  # noqa: B023, E731
+        j = side(old, "o").join(side(new, "w"), "bin", "full").fillna(0, ["o", "w"])
+        tot = j.agg(F.sum("o").alias("to"), F.sum("w").alias("tw"))
+        p, q = F.greatest(F.col("o") / F.col("to"), F.lit(1e-6)), F.greatest(F.col("w") / F.col("tw"), F.lit(1e-6))
+        one = j.join(F.broadcast(tot), F.lit(True)).agg(F.lit(c).alias("field"), F.sum((q - p) * F.log(q / p)).alias("psi"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def classify_missing(df: DataFrame, listing: DataFrame, days: DataFrame, code: str = "code", date: str = "date") -> DataFrame:
+    """Why a market day has no row of a code: before_listing, after_delisting, terminal (never traded again) or gap."""
+    from loomspan.operators.panel import skeleton
+
+    span = listing.select(F.col(code).alias("code"), F.lit("1900-01-01").cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
+    sk = skeleton(days, span).join(df.select(F.col(code).alias("code"), F.col(date).alias("date")).distinct().withColumn("_have", F.lit(1)), ["code", "date"], "left").where("_have is null").drop("_have")
+    last = df.groupBy(F.col(code).alias("code")).agg(F.max(date).alias("_last"))
+    j = sk.join(listing.select(F.col(code).alias("code"), "list_date", "delist_date"), "code").join(last, "code", "left")
+    why = F.when(F.col("list_date").isNotNull() & (F.col("date") < F.col("list_date")), "before_listing").when(F.col("delist_date").isNotNull() & (F.col("date") >= F.col("delist_date")), "after_delisting").when(F.col("_last").isNull() | (F.col("date") > F.col("_last")), "terminal").otherwise("gap")
+    return j.select("code", "date", why.alias("cause"))

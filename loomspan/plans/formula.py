@@ -35,6 +35,13 @@ ALLOWED = (
     ast.Attribute, ast.Subscript, ast.FunctionDef, ast.arguments, ast.arg, ast.Return, ast.List, ast.Tuple,
 )
 METHODS = ("abs", "log", "log1p", "sqrt", "exp", "sign", "floor")
+# Methods that exist elsewhere and are refused here, by reason.
+LOOK_AHEAD = ("backward_fill", "interpolate", "interpolate_by", "reverse")
+CALLBACKS = ("map_batches", "map_elements", "pipe", "rolling_map", "cumulative_eval")
+CONTEXT = (
+    "agg_groups all any append arg_max arg_min arg_sort count drop_nulls drop_nans entropy exclude explode first flatten head implode item kurtosis last len limit max mean median min mode n_unique over product quantile rank repeat_by reshape rolling "
+    "sample shuffle skew slice std sum tail top_k unique value_counts var sort sort_by filter gather gather_every get hash hist qcut cut rle rle_id"
+).split()
 #: columns that hold the future, and names the engine keeps to itself
 UNREADABLE = re.compile(r"^(forward_|future_)|^(target|label)$")
 RESERVED = re.compile(r"^__|^in_universe$")
@@ -157,6 +164,12 @@ class _Compiler:
         if isinstance(n, ast.Call):
             kw = {k.arg: self.expr(k.value, local) for k in n.keywords}
             if isinstance(n.func, ast.Attribute):
+                if n.func.attr in LOOK_AHEAD:
+                    raise FormulaError(f"method .{n.func.attr}() looks ahead")
+                if n.func.attr in CALLBACKS:
+                    raise FormulaError(f"method .{n.func.attr}() calls opaque Python; register a plug-in operator instead")
+                if n.func.attr in CONTEXT:
+                    raise FormulaError(f"method .{n.func.attr}() depends on grouping or order; use a ts_, cs_ or gp_ operator")
                 if n.func.attr not in METHODS:
                     raise FormulaError(f"method .{n.func.attr}() is not allowed; methods are {', '.join(METHODS)}")
                 return self.call(n.func.attr, [self.expr(n.func.value, local), *[self.expr(a, local) for a in n.args]], kw)

@@ -16,6 +16,7 @@ r5 as (partition by code order by date rows between 4 preceding and current row)
 r20 as (partition by code order by date rows between 19 preceding and current row), r14 as (partition by code order by date rows between 13 preceding and current row),
 cum as (partition by code order by date rows unbounded preceding), cs as (partition by date), gp as (partition by date, industry)"""
 HELPERS = """x0 as (select pm.*, industry, total_mv, lag(close) over (partition by code order by date) as pc, lag(high) over (partition by code order by date) as ph, lag(low) over (partition by code order by date) as pl, lag(volume) over (partition by code order by date) as pv,
+lag(open) over (partition by code order by date) as po, lag((high + low + close) / 3) over (partition by code order by date) as ptp, lag((high + low) / 2) over (partition by code order by date) as pmid,
 row_number() over (partition by code order by date) as rn, (high + low + close) / 3 as tp from pm join att using (code)),
 x as (select *, close - pc as d1, close / pc - 1 as ret, greatest(high - low, abs(high - pc), abs(low - pc)) as tr, avg(close) over (partition by date) as m_close, case when close > open then 1 else 0 end as up from x0)"""
 
@@ -98,6 +99,28 @@ BUNDLES: dict[str, list[tuple[str, str, str]]] = {
         ("a", "ts_连续N天收阳线(open, close, 2)", "case when count(*) over r2 = 2 then (sum(up) over r2 = 2)::int end"), ("b", "ts_平台整理(close, 5, 0.3)", g("(max(close) over r5 / min(close) over r5 < 1.3)::int", 5)), ("c", "ts_跳空缺口选股(high, low)", "(low > ph)::int"), ("d", "ts_持续放量(volume, 2)", "case when count(*) over r2 = 2 then (sum(case when volume > pv then 1 else 0 end) over r2 = 2)::int end"),
         ("e", "ts_低开大阳线(open, close, 0, 0.01)", "(open < pc and close / open > 1.01)::int"), ("f", "ts_单日放量(close, volume, 1.5)", "(volume > pv * 1.5 and close >= pc)::int"),
     ],
+    "op_ts_shape": [
+        ("a", "ts_arg_max(close, 5)", g("rn - arg_max(rn, close) over r5", 5)), ("b", "ts_arg_min(close, 5)", g("rn - arg_min(rn, close) over r5", 5)), ("c", "ts_skewness(close, 10)", g("list_avg(list_transform(list(close) over r10, lambda v: pow(v - list_avg(list(close) over r10), 3))) / pow(var_pop(close) over r10, 1.5)", 10)),
+        ("d", "ts_kurtosis(close, 10)", g("list_avg(list_transform(list(close) over r10, lambda v: pow(v - list_avg(list(close) over r10), 4))) / pow(var_pop(close) over r10, 2) - 3", 10)), ("e", "ts_min_max_diff(close, 5, 0.5) / close", g("1 - 0.5 * (min(close) over r5 + max(close) over r5) / close", 5)), ("f", "ts_HOD(close, 5)", g("len(list_filter(list(close) over r5, lambda v: v > close)) + 1", 5)),
+        ("g", "ts_LOD(close, 5)", g("len(list_filter(list(close) over r5, lambda v: v < close)) + 1", 5)), ("h", "ts_moment(close / open, 10, 2)", g("var_pop(close / open) over r10", 10)),
+    ],
+    "op_ta_volume": [
+        ("a", "ts_MFI(high, low, close, volume, 10)", "case when count(*) over r10 = 10 then 100 * sum(case when tp > ptp then tp * volume else 0 end) over r10 / (sum(case when tp > ptp then tp * volume else 0 end) over r10 + sum(case when tp < ptp then tp * volume else 0 end) over r10) end"),
+        ("b", "ts_VR(close, volume, 10)", "case when count(*) over r10 = 10 then (sum(case when d1 > 0 then volume else 0 end) over r10 + sum(case when d1 = 0 then volume else 0 end) over r10 / 2) / (sum(case when d1 < 0 then volume else 0 end) over r10 + sum(case when d1 = 0 then volume else 0 end) over r10 / 2) * 100 end"),
+        ("c", "ts_EMV(high, low, volume, 5)", "case when count((high + low) / 2 - pmid) over r5 = 5 then avg(((high + low) / 2 - pmid) * (high - low) / volume) over r5 end"), ("d", "ts_AD(high, low, close, volume)", "sum(case when high <> low then ((close - low) - (high - close)) / (high - low) * volume else 0 end) over cum"),
+        ("e", "ts_CR(high, low, 10)", "case when count(pmid) over r10 = 10 then sum(greatest(high - pmid, 0)) over r10 / sum(greatest(pmid - low, 0)) over r10 * 100 end"), ("f", "ts_BRAR_AR(open, high, low, close, 10)", g("sum(high - open) over r10 / sum(open - low) over r10 * 100", 10)),
+        ("g", "ts_BBI(close, 2, 5, 10, 20) / close", g("(avg(close) over r2 + avg(close) over r5 + avg(close) over r10 + avg(close) over r20) / 4 / close", 20)), ("h", "ts_MIDPOINT(close, 10) / close", g("(max(close) over r10 + min(close) over r10) / 2 / close", 10)),
+    ],
+    "op_ts_events": [
+        ("a", "ts_BARSSINCE(close > open)", "rn - min(case when up = 1 then rn end) over cum"), ("b", "ts_NDAY(close, open, 2)", "case when count(*) over r2 = 2 then (sum(up) over r2 = 2)::int end"), ("c", "ts_count_ge(close / open, 5, 1)", "case when count(*) over r5 = 5 then sum(case when close / open >= 1 then 1 else 0 end) over r5 end"),
+        ("d", "ts_均线多头排列(close, 2, 5, 10)", f"({g('avg(close) over r2', 2)} > {g('avg(close) over r5', 5)} and {g('avg(close) over r5', 5)} > {g('avg(close) over r10', 10)})::int"), ("e", "ts_旭日初升(open, close)", "(pc < po and close > open and open > pc and close > po)::int"), ("f", "ts_N日内上涨多于下跌(close, 10)", "case when count(*) over r10 = 10 then (sum(case when d1 > 0 then 1 else 0 end) over r10 > 5)::int end"),
+        ("g", "ts_fill_null(if_else(close > open, close), 3)", "last_value(case when up = 1 then close end ignore nulls) over (partition by code order by date rows between 3 preceding and current row)"),
+    ],
+    "op_cs_fill_bucket": [
+        ("a", "cs_fill_mean(if_else(close > open, close / open))", "coalesce(case when up = 1 then close / open end, avg(case when up = 1 then close / open end) over cs)"), ("b", "cs_qcut(close, 5)", "greatest(0, least(4, floor((2 * (rank() over (partition by date order by close) + (count(*) over (partition by date, close) - 1) / 2.0) - 1) * 5 / (2.0 * count(*) over cs))))"),
+        ("c", "cs_fill_max(if_else(close > open, close / open))", "coalesce(case when up = 1 then close / open end, max(case when up = 1 then close / open end) over cs)"), ("d", "cs_scale_down(volume, 0.5)", "(volume - min(volume) over cs) / (max(volume) over cs - min(volume) over cs) - 0.5"), ("e", "cs_zscore(close, 0)", "(close - avg(close) over cs) / nullif(stddev_pop(close) over cs, 0)"),
+        ("f", "gp_demean(industry, volume)", "volume - avg(volume) over gp"),
+    ],
     "op_macros": [
         ("a", "def f(x, n=5):\n    return ts_mean(x, n) / x\nt = f(close)\na = t", g("avg(close) over r5 / close", 5)),
         ("b", "u = close / open\nb = u - 1", "close / open - 1"),
@@ -124,5 +147,15 @@ def _sql(bundle: str) -> str:
     return f"with {panels.MONTHLY}, {panels.ATTR}, {HELPERS} select code, date, {cols} from x {WINDOWS}"
 
 
+def op_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = panels.table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    calls = {"a": "vec_avg(v)", "b": "vec_max(v)", "c": "vec_min(v)", "d": "vec_range(v)", "e": "vec_count(v)", "f": "vec_sum(v)", "g": "vec_l2_norm(v)", "h": "vec_norm(v)", "i": "vec_choose(v, 2)", "j": "vec_median(v)", "k": "vec_percentage(v, 0.25)", "l": "vec_stddev(v)", "m": "vec_ir(v)", "n": "vec_powersum(v, 4)", "o": "vec_kurtosis(v)"}
+    out = formula.compute(e, "\n".join(f"{n} = {f}" for n, f in calls.items()), list(calls), code="vec_id", date="label")
+    return out.select("vec_id", *[F.round(F.col(n) * NUDGE, 6).alias(n) for n in calls])
+
+
+VEC = f"""with e as (select vec_id, embedding::double[] as v from embeddings), m as (select *, list_avg(v) as mu from e)
+select vec_id, {', '.join(f'round(({x})::double * {NUDGE!r}::double, 6) as {n}' for n, x in {'a': 'mu', 'b': 'list_max(v)', 'c': 'list_min(v)', 'd': 'list_max(v) - list_min(v)', 'e': 'len(v)', 'f': 'list_sum(v)', 'g': 'sqrt(list_sum(list_transform(v, lambda x: x * x)))', 'h': 'list_sum(list_transform(v, lambda x: abs(x)))', 'i': 'v[3]', 'j': 'list_median(v)', 'k': "list_aggregate(v, 'quantile_cont', 0.25)", 'l': 'list_stddev_samp(v)', 'm': 'mu / list_stddev_samp(v)', 'n': 'list_sum(list_transform(v, lambda x: pow(x, 4)))', 'o': 'list_avg(list_transform(v, lambda x: pow(x - mu, 4))) / pow(list_var_pop(v), 2) - 3'}.items())} from m"""
 QUERIES = {b: _query(b) for b in BUNDLES}
-ORACLE = {b: _sql(b) for b in BUNDLES}
+QUERIES["op_vec"] = op_vec
+ORACLE = {b: _sql(b) for b in BUNDLES} | {"op_vec": VEC}

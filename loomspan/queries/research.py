@@ -451,3 +451,38 @@ def execution_window_fills(spark, sf_dir):
     bars = panels.intraday(spark, sf_dir).withColumn("volume", F.round(F.col("close") * 100))
     orders = bars.select("code", "date").distinct().select("*", F.lit("BUY").alias("side"), F.lit(500).cast("long").alias("quantity"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(None).cast("double").alias("limit"))
     return r6(execution.window_fills(orders, bars, 0.1, 1))
+
+
+@query("""with s as (select ts_code, cal_date as date from instrument_basic, trade_cal where is_open = 1), h as (select distinct ts_code, trade_date as date from daily), l as (select ts_code, max(trade_date) as last from daily group by 1)
+select case when s.date < i.list_date then 'before_listing' when s.date >= i.delist_date then 'after_delisting' when l.last is null or s.date > l.last then 'terminal' else 'gap' end as cause, count(*) as n
+from s left join h using (ts_code, date) join instrument_basic i using (ts_code) left join l using (ts_code) where h.ts_code is null group by 1""")
+def rules_classify_missing(spark, sf_dir):
+    d = table(spark, sf_dir, "daily").select(F.col("ts_code").alias("code"), F.col("trade_date").alias("date"))
+    listing = table(spark, sf_dir, "instrument_basic").select(F.col("ts_code").alias("code"), "list_date", "delist_date")
+    return rules.classify_missing(d, listing, panel.calendar(table(spark, sf_dir, "trade_cal"), "cal_date", "is_open")).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
+def rules_check_key(spark, sf_dir):
+    return rules.check_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "n")
+
+
+@query("select ts_code, fund_id from (select ts_code, fund_id, row_number() over (partition by ts_code order by updated_date desc, known_at desc, fund_id desc) as rn from fundamentals where known_at <= timestamp '2025-08-01 00:00:00') where rn = 1")
+def source_snapshot(spark, sf_dir):
+    from loomspan.sources import tables
+
+    return tables.snapshot(table(spark, sf_dir, "fundamentals").select("ts_code", "updated_date", "known_at", "fund_id"), "2025-08-01", "known_at", ["updated_date", "known_at", "fund_id"]).select("ts_code", "fund_id")
+
+
+@query(f"with {INTRADAY}, p as (select code, date, count(*) as n from b group by 1, 2) select code, count(*) as days, count(*) filter (where n >= 2) as full_days, min(n) as fewest from p group by 1")
+def source_minute_coverage(spark, sf_dir):
+    from loomspan.sources import tables
+
+    return tables.minute_coverage(panels.intraday(spark, sf_dir), full=2)
+
+
+@query("select ts_code, trade_date, close, circ_mv from daily left join (select ts_code, trade_date, max(circ_mv) as circ_mv from daily_basic group by 1, 2) using (ts_code, trade_date) where trade_date between date '2025-03-01' and date '2025-03-31'")
+def source_daily_enriched(spark, sf_dir):
+    b = table(spark, sf_dir, "daily_basic").groupBy("ts_code", "trade_date").agg(F.max("circ_mv").alias("circ_mv"))
+    d = table(spark, sf_dir, "daily").where(F.col("trade_date").between("2025-03-01", "2025-03-31")).select("ts_code", "trade_date", "close")
+    return d.join(b, ["ts_code", "trade_date"], "left")

@@ -174,3 +174,31 @@ def quota(df: DataFrame, by: str, n: int, order: Column) -> DataFrame:
     w = Window.partitionBy(by)
     d = df.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_k", F.ceil(F.count(F.lit(1)).over(w) / n))
     return d.where(F.col("_r") % F.col("_k") == 0).drop("_r", "_k")
+
+
+def snapshot(df: DataFrame, at, available: str, order: Sequence[str], code: str = "ts_code") -> DataFrame:
+    """The latest row of each code that was available at a date."""
+    rest = [c for c in df.columns if c not in (code, *order)]
+    best = F.max(F.struct(*order, *rest)).alias("_b")
+    return df.where(F.col(available) <= F.lit(at)).groupBy(code).agg(best).select(code, "_b.*")
+
+
+def minute_coverage(bars: DataFrame, code: str = "code", date: str = "date", full: int = 240) -> DataFrame:
+    """Days, complete days and fewest minutes of a day, per code."""
+    per = bars.groupBy(code, date).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(code).agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("n") >= full).alias("full_days"), F.min("n").alias("fewest"))
+
+
+def market_open(codes: DataFrame, daily: DataFrame, limits: DataFrame, suspended: DataFrame, day, code: str = "code", date: str = "date", least: float = 0.5) -> DataFrame:
+    """Evidence at an open: prices, limits and suspensions of a day for every code asked for.
+
+    A day on which under `least` of the codes have a daily row is refused: its data are not there yet.
+    """
+    on = lambda d: d.where(F.col(date) == F.lit(day)).drop(date)
+    out = codes.select(code).distinct()
+    out = out.join(on(daily).withColumn("has_daily", F.lit(True)), code, "left").join(on(limits).withColumn("has_limit", F.lit(True)), code, "left")
+    out = out.join(on(suspended).select(code).distinct().withColumn("is_suspended_at_open", F.lit(True)), code, "left").fillna(False, ["has_daily", "has_limit", "is_suspended_at_open"])
+    share = out.agg(F.avg(F.col("has_daily").cast("double"))).first()[0]
+    if share is not None and share < least:
+        raise ValueError(f"{day}: only {share:.0%} of the codes have a daily row")
+    return out

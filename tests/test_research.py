@@ -83,3 +83,27 @@ def test_bootstrap_is_seeded(spark):
     df = spark.createDataFrame([(0.01 * i,) for i in range(50)], "ret double").coalesce(1)
     a = [r[1] for r in portfolio.bootstrap(df, 20).orderBy("replicate").collect()]
     assert a == [r[1] for r in portfolio.bootstrap(df, 20).orderBy("replicate").collect()] and len(set(a)) > 10
+
+
+def test_drift_and_missing(spark):
+    a = spark.createDataFrame([(float(i),) for i in range(200)], "x double")
+    same, far = rules.drift(a, a, ["x"]).first()["psi"], rules.drift(a, a.withColumn("x", F.col("x") + 150), ["x"]).first()["psi"]
+    assert same < 1e-9 and far > 1
+    d = spark.createDataFrame([("a", D(1)), ("a", D(3))], "code string, date date")
+    days = spark.createDataFrame([(D(i),) for i in range(6)], "date date")
+    listing = spark.createDataFrame([("a", D(1), D(5)), ("b", None, None)], "code string, list_date date, delist_date date")
+    got = {(r["code"], r["date"]): r["cause"] for r in rules.classify_missing(d, listing, days).collect()}
+    assert got == {("a", D(0)): "before_listing", ("a", D(2)): "gap", ("a", D(4)): "terminal", ("a", D(5)): "after_delisting", **{("b", D(i)): "terminal" for i in range(6)}}
+
+
+def test_market_open(spark):
+    from loomspan.sources import tables
+
+    codes = spark.createDataFrame([("a",), ("b",)], "code string")
+    daily = spark.createDataFrame([("a", D(1), 10.0), ("a", D(2), 11.0)], "code string, date date, open double")
+    lim = spark.createDataFrame([("a", D(1), 11.0, 9.0)], "code string, date date, up_limit double, down_limit double")
+    sus = spark.createDataFrame([("b", D(1)), ("b", D(1))], "code string, date date")
+    got = {r["code"]: (r["has_daily"], r["has_limit"], r["is_suspended_at_open"]) for r in tables.market_open(codes, daily, lim, sus, D(1)).collect()}
+    assert got == {"a": (True, True, False), "b": (False, False, True)}
+    with pytest.raises(ValueError):
+        tables.market_open(codes, daily, lim, sus, D(4))

@@ -483,6 +483,15 @@ def source_minute_coverage(spark, sf_dir):
 
 @query("select ts_code, trade_date, close, circ_mv from daily left join (select ts_code, trade_date, max(circ_mv) as circ_mv from daily_basic group by 1, 2) using (ts_code, trade_date) where trade_date between date '2025-03-01' and date '2025-03-31'")
 def source_daily_enriched(spark, sf_dir):
-    b = table(spark, sf_dir, "daily_basic").groupBy("ts_code", "trade_date").agg(F.max("circ_mv").alias("circ_mv"))
-    d = table(spark, sf_dir, "daily").where(F.col("trade_date").between("2025-03-01", "2025-03-31")).select("ts_code", "trade_date", "close")
-    return d.join(b, ["ts_code", "trade_date"], "left")
+    """A month of `source_load_daily`, by the operator's own day range."""
+    from loomspan.sources import tables
+
+    return tables.load_daily(tables.Catalog(spark, sf_dir), ["close", "circ_mv"], "2025-03-01", "2025-03-31", extra=["daily_basic"])
+
+
+@query("select ts_code, trade_date, close, circ_mv from daily left join (select ts_code, trade_date, max(circ_mv) as circ_mv from daily_basic group by 1, 2) using (ts_code, trade_date)")
+def source_load_daily(spark, sf_dir):
+    """Every row of daily with its market value, over the whole tables."""
+    from loomspan.sources import tables
+
+    return tables.load_daily(tables.Catalog(spark, sf_dir), ["close", "circ_mv"], extra=["daily_basic"])

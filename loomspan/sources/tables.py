@@ -68,6 +68,7 @@ def restrict(df: DataFrame, codes: DataFrame, code: str = "ts_code") -> DataFram
 def load_daily(cat: Catalog, columns: Sequence[str], start=None, end=None, codes: Sequence[str] | None = None, fact: str = "daily", extra: Sequence[str] = (), adj: str | None = None) -> DataFrame:
     """The daily fact with the wanted columns; a table of `extra` is joined only if a column of it is wanted.
 
+    Every row of the fact stays one row: of a key that an extra table repeats, each column's greatest value counts.
     adj: the table of adjustment factors, joined inner on its key. Only referenced columns are read.
     """
     own = cat.columns(fact)
@@ -79,7 +80,8 @@ def load_daily(cat: Catalog, columns: Sequence[str], start=None, end=None, codes
     for t in extra:
         cs = [c for c, s in need.items() if s == t and c not in own]
         if cs:
-            df = df.join(between(cat.read(t), "trade_date", start, end, codes).select(*key, *cs), key, "left")
+            side = between(cat.read(t), "trade_date", start, end, codes).groupBy(*key).agg(*[F.max(c).alias(c) for c in cs])
+            df = df.join(side, key, "left")
     return df
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import registry
 from loomspan.plans import run
+from loomspan.queries import research
 from loomspan.sources import tables
 
 
@@ -22,6 +23,17 @@ def test_catalog_and_elision(spark, sf):
     assert "circ_mv" in tables.load_daily(cat, ["close", "circ_mv"], extra=["daily_basic"]).columns
 
 
+def test_load_daily_keeps_every_row_once(spark, sf, tmp_path):
+    d = dt.date(2025, 2, 3)
+    spark.createDataFrame([("a", d, 1.0), ("a", d, 2.0), ("b", d, 3.0), (None, d, 4.0)], "ts_code string, trade_date date, close double").write.parquet(str(tmp_path / "daily"))
+    spark.createDataFrame([("a", d, 7.0), ("a", d, 9.0), ("a", d, None), (None, d, 1.0)], "ts_code string, trade_date date, circ_mv double").write.parquet(str(tmp_path / "daily_basic"))
+    got = tables.load_daily(tables.Catalog(spark, str(tmp_path)), ["close", "circ_mv"], extra=["daily_basic"]).select("close", "circ_mv")
+    assert sorted(map(tuple, got.collect())) == [(1.0, 9.0), (2.0, 9.0), (3.0, None), (4.0, None)]
+    whole, month = (research.QUERIES[q](spark, sf) for q in ("source_load_daily", "source_daily_enriched"))
+    assert whole.count() == spark.read.parquet(f"{sf}/daily.parquet").count()
+    assert whole.select(F.month("trade_date")).distinct().count() == 12 and month.select(F.month("trade_date")).distinct().count() == 1
+
+
 def test_monthly_roundtrip_replaces_only_its_months(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2025, 1, 5), 1), (dt.date(2025, 2, 5), 2)], "d date, x int")
     tables.write_monthly(df, str(tmp_path / "t"), "d")

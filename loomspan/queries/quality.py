@@ -10,6 +10,9 @@ from loomspan.queries import quality_sql as sql
 from loomspan.queries.common import table, ymd
 
 HEALTH_FIELDS = {
+    "dataset_id": "dataset_id",
+    "shard": "shard",
+    "partition_date": "partition_date",
     "data_version": "data_version",
     "health_status": "health_status",
     "completeness.status": "completeness.status",
@@ -22,13 +25,16 @@ HEALTH_FIELDS = {
     "quality.quarantine_count": "quality.quarantine_count",
     "quality.error_rate": "quality.error_rate",
     "quality.systematic_issue": "quality.systematic_issue",
+    "validated_at": "validated_at",
 }
 LISTED = ("completeness.coverage", "quality.error_rate", "quality.quarantine_count", "data_version")
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of the health records, per load."""
-    return profile.profile_columns(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], HEALTH_FIELDS).drop("masks")
+    """Every column of the health records but the keys, per load: statistics, masks (commonest first) and how far it is from the segment's other loads."""
+    p = profile.profile_columns(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], HEALTH_FIELDS)
+    commonest = F.transform(F.array_sort(F.transform(F.map_entries("masks"), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("mask")))), lambda e: F.struct(e["mask"].alias("mask"), (-e["less"]).alias("share")))
+    return profile.load_departures(p, "segment", "load_id").withColumn("masks", commonest)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomspan.operators import profile
+from loomspan.queries import quality
 
 FIELDS = {"x": "x", "s.t": "s"}
 SCHEMA = "g string, l string, x double, s string"
@@ -47,3 +50,20 @@ def test_empty_and_null_groups(spark):
     p = profile.profile_columns(df, ["g", "l"], FIELDS)
     assert p.count() == 2
     assert profile.load_departures(p, "g", "l").where("departs").count() == 0
+
+
+def test_every_health_column_is_profiled_with_masks(spark, sf, tmp_path):
+    h = spark.read.parquet(f"{sf}/ashare_daily.parquet")
+    seg = h.groupBy("segment").agg(F.count_distinct("load_id").alias("k")).orderBy(F.desc("k"), "segment").first()["segment"]
+    one = h.where(F.col("segment") == seg).orderBy("load_id").first()["load_id"]
+    odd = F.col("load_id") == one
+    h = h.where(F.col("segment") == seg).withColumn("validated_at", F.when(~odd, F.col("validated_at"))).withColumn("dataset_id", F.when(odd, "X-1").otherwise(F.col("dataset_id")))
+    h.write.parquet(str(tmp_path / "ashare_daily.parquet"))
+    p = {(r["load_id"], r["field"]): r for r in quality.p1_profile(spark, str(tmp_path)).collect()}
+    flat = [f"{f.name}.{g.name}" for f in h.schema if f.dataType.typeName() == "struct" for g in f.dataType] + [f.name for f in h.schema if f.dataType.typeName() != "struct"]
+    loads = {k for k, _ in p}
+    assert len(loads) > 2 and set(p) == {(k, f) for k in loads for f in flat if f not in ("segment", "load_id")}
+    assert {k for k in loads if p[k, "validated_at"]["departs"]} == {one} and {k for k in loads if p[k, "dataset_id"]["departs"]} == {one}
+    x = p[one, "dataset_id"]
+    assert [tuple(m) for m in x["masks"]] == [("A-9", 1.0)] and x["rare_share"] == 1.0 and x["mask_div"] > 0.99
+    assert all([m["share"] for m in r["masks"]] == sorted((m["share"] for m in r["masks"]), reverse=True) for r in p.values())

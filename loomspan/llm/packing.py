@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.session import checkpoint
+
 
 def pack(sizes: Sequence[int], capacity: int, scale: float = 4096.0) -> np.ndarray:
     """Container number of each size (all <= capacity), for sizes in descending order.
@@ -49,20 +51,30 @@ def containers(docs: DataFrame, item: str, size: str, capacity: int = 2048, scal
 
     Only an item larger than `capacity` is split: into full containers of its own and
     one rest that is packed like an item; start is the piece's first token. Empty or null items take no room
-    and get container null. Rows are items: repeats are packed each. container is
-    <shard>-<number>, unique over all. Items of one size go in the order of `item`, so the result
-    is deterministic for unique items. An empty table gives no rows.
+    and get container null. Rows are items: repeats, and rows without an id, are packed each. container is
+    <shard>-<number>, or full-<item>-<row>-<piece> for a full one, unique over all. Items of one size go in the
+    order of `item`, so what shares a container is deterministic for unique items. Rows of an id whose repeats hold
+    much of a shard are spread over all shards. An empty table gives no rows.
     """
     n = F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
-    d = docs.select(F.col(item).alias("item"), n.alias("n"))
+    d = docs.select(F.col(item).alias("item"), n.alias("n"), F.monotonically_increasing_id().alias("row"))
+    d = checkpoint(d)  # sizes are counted once, and row numbers stay
     total = d.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    pieces = d.select("item", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity).cast("long") - 1, F.lit(0).cast("long")))).alias("piece"))
+    pieces = d.select("item", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity).cast("long") - 1, F.lit(0).cast("long")))).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("n_tokens", F.least(F.col("n") - F.col("start"), F.lit(capacity).cast("long")))
-    full = pieces.where(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), F.col("piece").cast("string")))
-    # repeats of an item that fills containers get one each
+    full = pieces.where(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), F.col("row").cast("string"), F.col("piece").cast("string")))
     void = pieces.where("n_tokens = 0").withColumn("container", F.lit(None).cast("string"))
-    part = pieces.where(f"n_tokens > 0 and n_tokens < {capacity}").withColumn("shard", F.pmod(F.xxhash64("item", "piece"), F.lit(shards)).cast("long"))
+    part = pieces.where(f"n_tokens > 0 and n_tokens < {capacity}")
+    salt = F.lit(None).cast("long")
+    if shards > 1:
+        # at most 8 * shards ids; the rest of a unique item is smaller than `capacity` and never among them
+        heavy = [r["item"] for r in part.groupBy("item").agg(F.sum("n_tokens").alias("m")).where(F.col("m") > max(capacity, shard_tokens // 8)).select("item").collect()]
+        known = [x for x in heavy if x is not None]
+        many = F.coalesce(F.col("item").isin(known), F.lit(False)) if known else F.lit(False)
+        salt = F.when(many | F.col("item").isNull() if len(known) < len(heavy) else many, F.col("row"))
+    # hashing a null changes nothing
+    part = part.withColumn("shard", F.pmod(F.xxhash64("item", "piece", salt), F.lit(shards)).cast("long"))
     part = part.select("item", "piece", "start", "n_tokens", "shard")
     kind = dict(d.dtypes)["item"]
 

@@ -52,6 +52,25 @@ def test_shards_and_empty(spark):
     assert len(got) == 200 and max(load.values()) <= 100 and len(load) >= 67
 
 
+def test_repeated_and_null_ids_are_packed_each(spark):
+    rows = [(1, 100, ""), (1, 100, ""), (1, 250, ""), (1, 250, ""), (None, 100, ""), (None, 100, ""), (None, 320, ""), (None, 30, "")]
+    load = {}
+    for r in run(spark, rows):
+        load[r["container"]] = load.get(r["container"], 0) + r["n_tokens"]
+    assert max(load.values()) <= 100 and sum(load.values()) == sum(n for _, n, _ in rows)
+    assert sum(k.startswith("full-") for k in load) == 11
+
+
+def test_shards_bound_the_repeats_of_an_id(spark):
+    for i in (7, None):
+        load, shard = {}, {}
+        for r in run(spark, [(i, 30, "")] * 200, shard_tokens=1000):
+            load[r["container"]] = load.get(r["container"], 0) + r["n_tokens"]
+            s = r["container"].split("-")[0]
+            shard[s] = shard.get(s, 0) + r["n_tokens"]
+        assert max(load.values()) <= 100 and sum(load.values()) == 6000 and len(shard) == 6 and max(shard.values()) <= 2000
+
+
 def test_token_counts(spark):
     from pyspark.sql import functions as F
 

@@ -126,14 +126,15 @@ def features(docs: DataFrame, doc: str, text: str, max_broadcast_words: int = 50
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, (key, t) in enumerate(zip(b["doc"], b["t"], strict=True)):
+            for i, key, t in zip(b["row"], b["doc"], b["t"], strict=True):
                 got = running_words(t)
                 if got:
-                    out += [(key, w, n, *got[1:]) for w, n in Counter(x.lower() for x in got[0]).items()]
-            yield pd.DataFrame(out, columns=["doc", "word", "n", "tokens", "sents", "commas"])
+                    out += [(i, key, w, n, *got[1:]) for w, n in Counter(x.lower() for x in got[0]).items()]
+            yield pd.DataFrame(out, columns=["row", "doc", "word", "n", "tokens", "sents", "commas"])
 
-    words = d.mapInPandas(spread, f"doc {kind}, word string, n long, tokens long, sents long, commas long")
-    per = words.join(ranks, "word").groupBy("doc", "tokens", "sents", "commas").agg(F.collect_list(F.struct("rank", "n", F.length("word").alias("len"))).alias("ws"))
+    # ids may repeat or be null: the row's own number keeps its words together
+    words = d.withColumn("row", F.monotonically_increasing_id()).mapInPandas(spread, f"row long, doc {kind}, word string, n long, tokens long, sents long, commas long")
+    per = words.join(ranks, "word").groupBy("row", "doc", "tokens", "sents", "commas").agg(F.collect_list(F.struct("rank", "n", F.length("word").alias("len"))).alias("ws"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

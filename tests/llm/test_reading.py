@@ -49,6 +49,15 @@ def test_both_ways_of_joining_the_vocabulary_agree(spark, corpus):
     assert a.keys() == b.keys() and all(np.allclose(a[k][1:], b[k][1:]) for k in a)
 
 
+def test_both_ways_give_a_row_per_document_row(spark, corpus):
+    texts = [t for _, t in corpus[0][:6]]
+    same = "the cat sat on a mat and ran. "
+    docs = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, same * 3), (2, same.replace("cat", "mat") * 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    a, b = (sorted(((r["doc"] or 0, *tuple(r)[1:]) for r in reading.features(d, "doc_id", "text", **kw).collect())) for kw in ({}, {"max_broadcast_words": 0}))
+    assert len(a) == len(b) == len(docs) and np.allclose(a, b)
+
+
 def test_ranks_are_mean_ranks_of_frequency(spark):
     d = spark.createDataFrame([(1, "aa aa aa bb bb cc dd Name ee ee")], "doc_id long, text string")
     got = {r["word"]: r["rank"] for r in reading.word_ranks(d, "text").collect()}

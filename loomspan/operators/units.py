@@ -30,7 +30,8 @@ AMOUNT_WORDS = {
     "kcny": 3, "thousand yuan": 3, "rmb '000": 3, "千元": 3, "rmb 1": 0, "cny": 0, "rmb": 0, "yuan": 0, "元": 0,
 }
 VALUE_WORDS = {"100m cny": 4, "亿元": 4, "亿": 4, "mn cny": 2, "百万元": 2, "百万": 2, "10k cny": 0, "万元": 0, "万": 0, "cny": -4, "yuan": -4, "元": -4}
-VOLUME_UNITS, AMOUNT_UNITS, VALUE_UNITS = (0, 2, 4), (0, 3, 4, 8), (0, 2, 4, -4)
+# States of the chain: every power that a unit word has.
+VOLUME_UNITS, AMOUNT_UNITS, VALUE_UNITS = (0, 2, 4), (0, 3, 4, 6, 8), (0, 2, 4, -4)
 
 
 def _alt(words: dict[str, int]) -> str:

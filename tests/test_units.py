@@ -41,6 +41,18 @@ def test_decodes_silent_rows(spark):
     assert got == truth
 
 
+def test_every_named_power_is_a_state(spark):
+    assert set(units.AMOUNT_UNITS) == set(units.AMOUNT_WORDS.values()) and set(units.VOLUME_UNITS) == set(units.VOLUME_WORDS.values()) and set(units.VALUE_UNITS) == set(units.VALUE_WORDS.values())
+    r, truth = rows(3, 60)
+    for k in range(0, len(r), 3):  # a feed declared in million yuan, and one that declares nothing
+        x, shares = r[k], r[k][7] * 10.0 ** truth[k][0]
+        truth[k] = (0, 6)
+        r[k] = (*x[:7], shares, shares * x[6] / 1e6, "million" if k % 2 else "none", None, x[11])
+    f = feeds(spark).unionByName(spark.createDataFrame([("million", D(0), D(400), "股", "mn cny", "万元")], FEEDS))
+    got = {x["row_id"]: (x["vol_power"], x["amount_power"]) for x in units.common_units_daily(spark.createDataFrame(r, DAILY), f).collect()}
+    assert got == truth
+
+
 def test_hot_entity_is_split_with_the_same_result(spark):
     r, truth = rows(5, 60)
     df = spark.createDataFrame(r, DAILY)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 FATAL, ERROR, WARNING = "FATAL", "ERROR", "WARNING"
 
 
-def daily_rules(code: str = "code", date: str = "date") -> dict[str, tuple[str, Column]]:
-    """rule -> (level, condition that a row breaks it)."""
+def daily_rules(code: str = "code", date: str = "date", order: Sequence[str] = ()) -> dict[str, tuple[str, Column]]:
+    """rule -> (level, condition that a row breaks it); rows of one day go by `order`, which should tell them apart."""
     c = F.col
-    w = Window.partitionBy(code).orderBy(date)
+    w = Window.partitionBy(code).orderBy(date, *order)
     bad = lambda n: c(n).isNull() | F.isnan(c(n).cast("double"))
     return {
         "key_missing": (FATAL, c(code).isNull() | c(date).isNull()),

@@ -107,3 +107,12 @@ def test_market_open(spark):
     assert got == {"a": (True, True, False), "b": (False, False, True)}
     with pytest.raises(ValueError):
         tables.market_open(codes, daily, lim, sus, D(4))
+
+
+def test_lag_rules_go_by_the_full_order(spark):
+    cols = "code string, date date, open double, high double, low double, close double, pre_close double, vol double, amount double, id long"
+    day = lambda i, close, k: ("000001.SZ", D(i), close, close, close, close, close, 1.0, 1.0, k)
+    r = [day(0, 10.0, 1), day(1, 10.0, 2), day(1, 20.0, 3), day(2, 20.0, 4)]
+    for rows in (r, r[::-1]):
+        v = rules.violations(spark.createDataFrame(rows, cols).coalesce(1), rules.daily_rules(order=["id"]), ["id"])
+        assert sorted((x["id"], x["rule"]) for x in v.collect()) == [(2, "duplicate_key"), (3, "duplicate_key"), (3, "jump"), (3, "order_of_days"), (3, "pre_close_gap")]

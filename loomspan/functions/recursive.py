@@ -112,6 +112,8 @@ def chips(a, part: str, step: float, decay: float, share: float):
     """Chip distribution: turnover replaces holdings evenly, new ones spread over the day's range.
 
     part winner: share held below the close; part cost: price below which `share` of the chips lie.
+    The grid never gets coarser than `step`: it has (highest - lowest price) / step + 1 points, without a
+    limit, so memory and time per row grow with the entity's price range over `step`.
     """
     high, low, avgp, turn, close = a
     ok = ~np.isnan(high) & ~np.isnan(low)
@@ -119,7 +121,7 @@ def chips(a, part: str, step: float, decay: float, share: float):
     if not ok.any():
         return out
     lo, hi = np.nanmin(low), np.nanmax(high)
-    n = int(min(4096, max(2, np.ceil((hi - lo) / step) + 1)))
+    n = int(max(2, np.ceil((hi - lo) / step) + 1))
     grid = np.linspace(lo, hi, n)
     held = np.zeros(n)
     for i in range(len(high)):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import recursive
 from loomspan.operators import evaluate, orderbook, portfolio, process, rules
 
 D = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
@@ -116,3 +117,11 @@ def test_lag_rules_go_by_the_full_order(spark):
     for rows in (r, r[::-1]):
         v = rules.violations(spark.createDataFrame(rows, cols).coalesce(1), rules.daily_rules(order=["id"]), ["id"])
         assert sorted((x["id"], x["rule"]) for x in v.collect()) == [(2, "duplicate_key"), (3, "duplicate_key"), (3, "jump"), (3, "order_of_days"), (3, "pre_close_gap")]
+
+
+def test_chips_keep_their_step_over_a_wide_price_range():
+    day = lambda lo, hi: (hi, lo, (lo + hi) / 2, 1.0, lo + 0.55)
+    near, far = day(10.0, 11.0), day(10000.0, 10001.0)
+    for part in ("winner", "cost"):
+        alone, after = (recursive.chips(np.array(x).T, part, 0.1, 1.0, 0.5)[-1] for x in ([near], [far, near]))
+        assert abs(alone - after) <= 0.1 and 0 < after != 10.0

@@ -31,15 +31,28 @@ LISTED = ("completeness.coverage", "quality.error_rate", "quality.quarantine_cou
 
 
 def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of the health records but the keys, per load: statistics, masks (commonest first) and how far it is from the segment's other loads."""
-    p = profile.profile_columns(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], HEALTH_FIELDS)
-    commonest = F.transform(F.array_sort(F.transform(F.map_entries("masks"), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("mask")))), lambda e: F.struct(e["mask"].alias("mask"), (-e["less"]).alias("share")))
-    return profile.load_departures(p, "segment", "load_id").withColumn("masks", commonest)
+    """Every column of the health records but the keys, per load: statistics, masks (commonest first), distinct values and how far it is from the segment's other loads."""
+    h = table(spark, sf_dir, "ashare_daily")
+    p = profile.profile_columns(h, "segment", "load_id", HEALTH_FIELDS)
+    d = profile.distinct_counts(h, ["segment", "load_id"], HEALTH_FIELDS).select(F.col("segment").alias("_s"), F.col("load_id").alias("_l"), F.col("field").alias("_f"), "n_distinct")
+    return p.join(d, p["segment"].eqNullSafe(d["_s"]) & p["load_id"].eqNullSafe(d["_l"]) & (p["field"] == d["_f"])).drop("_s", "_l", "_f")
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile's plain columns, rounded."""
+    p = profile.profile_columns(table(spark, sf_dir, "ashare_daily"), "segment", "load_id", HEALTH_FIELDS)
+    r = lambda c: F.round(c, 6).alias(c)
+    return p.select("segment", "load_id", "field", "n_rows", *map(r, ("null_share", "nan_share", "zero_share", "neg_share", "top_share", "min", "q1", "med", "q3", "max", "mask_div", "rare_share")), "level", "departs", F.col("masks")[0]["mask"].alias("top_mask"))
+
+
+def p1_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each mask occurs per load and column."""
+    return profile.mask_counts(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], HEALTH_FIELDS).select("segment", "load_id", "field", "mask", "n")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile_columns(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], {k: v for k, v in HEALTH_FIELDS.items() if k in LISTED})
-    return profile.load_departures(p, "segment", "load_id").where("departs").select("load_id", "field").distinct()
+    c = profile.mask_counts(table(spark, sf_dir, "ashare_daily"), ["segment", "load_id"], {k: v for k, v in HEALTH_FIELDS.items() if k in LISTED})
+    return profile.load_departures(c, "segment", "load_id").where("departs").select("load_id", "field").distinct()
 
 
 def _mirror_keys(mirror: DataFrame) -> DataFrame:
@@ -118,5 +131,5 @@ def p5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p3_found, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
-ORACLE = {"p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
+ORACLE = {"p1_found": sql.P1, "p1_statistics": sql.P1_STATISTICS, "p1_masks": sql.P1_MASKS, "p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}

@@ -1,11 +1,11 @@
 """Implausible measurements: spikes, stuck values and impossible readings.
 
 Each field of each entity's series is a hidden Markov chain over the states
-normal, spike, stuck and out of range. Emissions are relative to the source of
-the reading: its usual deviation is estimated beforehand from all of its
-readings by one mergeable sketch. Forward-backward gives each reading's state
-probabilities; hard bounds enter as certain emissions, and a stuck state must
-also pass an exact run-length check.
+normal, spike, stuck and out of range, whose parameters are those of the readings'
+sources: the usual deviation and the rate of spikes are fitted per source by expectation maximisation over all
+of its readings, the rate of impossible readings is counted (`units.source_noise`).
+Forward-backward gives each reading's state probabilities; hard bounds enter
+as certain emissions, and a stuck state must also pass an exact run-length check.
 
 The chain runs over one representative reading per entity and day; every
 other reading of the day is judged by its own emission under the chain's
@@ -21,36 +21,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators import units
+from loomspan.operators import series, units
+from loomspan.operators.series import Arrays
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
-START = np.array([0.9985, 0.0005, 0.0005, 0.0005])
-#: rows: from; a stuck run lasts, spikes and impossible values come singly
-STEP = np.array([[0.9988, 0.0005, 0.0002, 0.0005], [0.9988, 0.0005, 0.0002, 0.0005], [0.0998, 0.0005, 0.8992, 0.0005], [0.9988, 0.0005, 0.0002, 0.0005]])
+FIELDS = ("amount", "high", "low")
+#: a stuck run begins and goes on with these chances; the other two come from the source, within bounds
+STUCK_ENTERS, STUCK_STAYS = 2e-4, 0.9
+SPIKE_RATES, OUT_RATES = (2e-4, 5e-3), (2e-4, 5e-3)
+PAID = 0.1  # deviation of the average price from the mean of open and close, as a share of the way between them
 BROAD = 0.05  # density of a spike over the log deviation
 #: chance that two normal readings in a row are stored alike
 ALIKE = {"amount": 1e-6, "high": 2e-2, "low": 2e-2}
 RUNS = {"amount": 5, "high": 7}
 
 
-def messages(chain: np.ndarray, emit: np.ndarray) -> np.ndarray:
+def steps(spike: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances [n, 4] of the next state: after normal, spike or out of range; after stuck. spike, out: rates of the reading's source."""
+    p = np.clip(np.where(np.isnan(spike), 5e-4, spike), *SPIKE_RATES)
+    q = np.clip(np.where(np.isnan(out), 5e-4, out), *OUT_RATES)
+    go = np.column_stack([1 - p - q - STUCK_ENTERS, p, np.full(len(p), STUCK_ENTERS), q])
+    hold = np.column_stack([(1 - STUCK_STAYS) * (1 - p - q), p, STUCK_STAYS * (1 - p - q), q])
+    return go, hold
+
+
+def messages(chain: np.ndarray, emit: np.ndarray, go: np.ndarray, hold: np.ndarray) -> np.ndarray:
     """What the rest of its chain says of each state of each row, own emission left out: [n, 4].
 
     Chains are runs of equal `chain`; all of a block step together.
     """
     n, s = emit.shape
-    starts = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
-    length = np.diff(np.r_[starts, n])
+    if not n:
+        return np.zeros((0, s))
+    starts, length = series.runs(chain)
     order = np.argsort(-length, kind="stable")
     starts, length = starts[order], length[order]
     pred = np.empty((n, s))
-    pred[starts] = START
-    a = START * emit[starts]
+    pred[starts] = go[starts]
+    a = pred[starts] * emit[starts]
     a /= a.sum(1, keepdims=True)
     for t in range(1, int(length[0])):
         k = int(np.searchsorted(-length, -t, side="left"))
         rows = starts[:k] + t
-        p = a[:k] @ STEP
+        stuck = a[:k, STUCK, None]
+        p = (1 - stuck) * go[rows] + stuck * hold[rows]
         pred[rows] = p
         p = p * emit[rows]
         a[:k] = p / p.sum(1, keepdims=True)
@@ -58,7 +72,9 @@ def messages(chain: np.ndarray, emit: np.ndarray) -> np.ndarray:
     for t in range(int(length[0]) - 1, 0, -1):
         k = int(np.searchsorted(-length, -t, side="left"))
         rows = starts[:k] + t
-        b = (back[rows] * emit[rows]) @ STEP.T
+        w = back[rows] * emit[rows]
+        b = np.repeat((w * go[rows]).sum(1)[:, None], s, axis=1)
+        b[:, STUCK] = (w * hold[rows]).sum(1)
         back[rows - 1] = b / b.sum(1, keepdims=True)
     m = pred * back
     return m / m.sum(1, keepdims=True)
@@ -81,40 +97,71 @@ def emissions(x: np.ndarray, sd: np.ndarray, bad: np.ndarray, alike: np.ndarray,
     return e + 1e-300
 
 
-def flag_series(key: np.ndarray, day: np.ndarray, fields: Mapping[str, tuple], runs: Mapping[str, int] = RUNS) -> dict[str, np.ndarray]:
-    """State of each reading and field (0: plausible), for rows sorted by (key, day, arrival).
+def _deviations(a: Arrays, vp: np.ndarray, ap: np.ndarray) -> dict[str, tuple]:
+    """field -> (stored value, log deviation, usual deviation, beyond a hard bound, one-sided, spike rate)."""
+    m = units.Pair(a)
+    vol, amount, o, h, lo, c = (a[k] for k in ("vol", "amount", "open", "high", "low", "close"))
+    traded = vol > 0
+    top, low = np.fmax(o, c), np.fmin(o, c)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        xa = np.where(traded, 2.302585092994046 * (m.la + ap - m.lv - vp - m.lp), np.nan)
+        xh = np.where(traded & (h > 0) & (top > 0), np.log(h / top), np.nan)
+        xl = np.where(traded & (lo > 0) & (low > 0), np.log(low / lo), np.nan)
+    # without a close the day's own move adds to what is usual
+    move = np.where(np.isnan(c) | np.isnan(o), np.where(np.isnan(a["sc"]), 0.03, a["sc"]), 0.0)
+    # the price paid on average lies anywhere between open and close: a long way widens what is usual
+    with np.errstate(invalid="ignore", divide="ignore"):
+        way = PAID * np.nan_to_num(np.abs(np.log(np.where((top > 0) & (low > 0), top / low, 1.0))))
+    return {
+        "amount": (amount, xa, np.hypot(a["sa"] * 2.302585092994046, move + way), traded & (amount <= 0), False, a["pa"]),
+        "high": (h, xh, a["sh"] + move, traded & ((h <= 0) | (h < top - 1e-9)), True, a["ph"]),
+        "low": (lo, xl, a["sl"] + move, traded & ((lo <= 0) | (lo > low + 1e-9)), True, a["pl"]),
+    }
+
+
+UNITS = len(units.Pair.states) + 1
+#: after the units' messages, per field: 4 state messages, the day's stored value, that of the day before, the run's length
+WIDTH = UNITS + 7 * len(FIELDS)
+
+
+def chain(a: Arrays) -> np.ndarray:
+    """Messages of the unit chains and of the chains of days, for representatives sorted by entity, day and source."""
+    out = np.empty((len(a["ent"]), WIDTH))
+    out[:, :UNITS] = units.unit_messages(units.Pair, a)
+    dev = _deviations(a, *units.decode(units.Pair, a, out[:, :UNITS]))
+    # of a day's sources the reading that arrived last
+    o = np.lexsort((a["src"], a["row_id"], a["_at"], a["_day"], a["ent"]))
+    e, d = a["ent"][o], a["_day"][o]
+    last = np.r_[(e[1:] != e[:-1]) | (d[1:] != d[:-1]), True]
+    rep, day = o[last], np.empty(len(o), np.int64)
+    day[o] = np.r_[0, np.cumsum(last)[:-1]]
+    ent = a["ent"][rep]
+    first = np.r_[True, ent[1:] != ent[:-1]]
+    for i, f in enumerate(FIELDS):
+        value, x, sd, bad, one_sided, spike = (v if isinstance(v, bool) else v[rep] for v in dev[f])
+        before = np.where(first, np.nan, np.r_[np.nan, value[:-1]])
+        same = value == before
+        m = messages(ent, emissions(x, sd, bad, same, ALIKE[f], one_sided), *steps(spike, a["po"][rep]))
+        start = np.flatnonzero(~same)
+        length = np.repeat(np.diff(np.r_[start, len(rep)]), np.diff(np.r_[start, len(rep)]))
+        out[:, UNITS + 7 * i : UNITS + 7 * (i + 1)] = np.column_stack([m, value, before, length])[day]
+    return out
 
-    fields: name -> (stored value, log deviation, usual deviation, beyond a hard bound, one-sided).
-    """
-    n = len(key)
-    if not n:
-        return {f: np.zeros(0, np.int8) for f in fields}
-    last = np.r_[(key[1:] != key[:-1]) | (day[1:] != day[:-1]), True]
-    rep = np.flatnonzero(last)
-    of = np.r_[0, np.cumsum(last)[:-1]]  # each row's representative
-    chain = key[rep]
-    out = {}
-    for f, (value, x, sd, bad, one_sided) in fields.items():
-        v = value[rep]
-        same = np.zeros(len(rep), bool)
-        same[1:] = (v[1:] == v[:-1]) & (chain[1:] == chain[:-1])
-        p = ALIKE.get(f, 1e-2)
-        m = messages(chain, emissions(x[rep], sd[rep], bad[rep], same, p, one_sided))
-        prev = np.r_[np.nan, v[:-1]]
-        prev[np.r_[True, chain[1:] != chain[:-1]]] = np.nan
-        alike = value == prev[of]
-        post = m[of] * emissions(x, sd, bad, alike, p, one_sided)
-        post /= post.sum(1, keepdims=True)
-        state = post.argmax(1).astype(np.int8)
+
+def states(a: Arrays, msg: np.ndarray, least: Mapping[str, int] = RUNS) -> dict[str, np.ndarray]:
+    """State of each reading and field (0: plausible) under its day's messages."""
+    dev, out = _deviations(a, *units.decode(units.Pair, a, msg[:, :UNITS])), {}
+    for i, f in enumerate(FIELDS):
+        value, x, sd, bad, one_sided, _ = dev[f]
+        m = msg[:, UNITS + 7 * i : UNITS + 7 * (i + 1)]
+        alike = value == m[:, 5]
+        post = m[:, :4] * emissions(x, sd, bad, alike, ALIKE[f], one_sided)
+        state = post.argmax(1)
         # exact check of stuck runs: long enough, and not the run's first reading
-        start = np.flatnonzero(~same)
-        run = np.repeat(np.diff(np.r_[start, len(rep)]), np.diff(np.r_[start, len(rep)]))
-        long = alike & (value == v[of]) & (run[of] >= runs.get(f, n + 1))
-        stuck = state == STUCK
+        long = alike & (value == m[:, 4]) & (m[:, 6] >= least.get(f, np.inf))
         rest = post.copy()
         rest[:, STUCK] = 0
-        state = np.where(stuck & ~long, rest.argmax(1), state).astype(np.int8)
-        out[f] = state
+        out[f] = np.where((state == STUCK) & ~long, rest.argmax(1), state).astype(np.int8)
     return out
 
 
@@ -124,42 +171,21 @@ def implausible_daily(daily: DataFrame, feeds: DataFrame, floor: int = 200_000)
     amount is held, in yuan, against vol in shares times the mean of open and
     close (units are decoded first, so another unit is no case); high and low
     against the higher and lower of open and close. Rows whose vol is not above 0, and
-    null or NaN values, are never flagged. Every flagged row comes once per field.
+    null or NaN values, are never flagged. Every flagged row comes once per field. `floor`: see `by_series`; it
+    changes where rows are processed, never the result.
     """
-    r = units.with_noise(units.daily_readings(daily, feeds)).select("row_id", "ts_code", "_day", "src", "loaded_at", "vol", "amount", "open", "high", "low", "close", "lv", "la", "lp", "hv", "ha", "dv", "da", "sa", "sh", "sl", "sc")
-    t = units.entity_tiles(r, "ts_code", "_day", ["_day", "loaded_at", "row_id"], 10, floor)
-    t = t.repartition("ts_code", "_tile").sortWithinPartitions("ts_code", "_tile", "_day", "loaded_at", "row_id").drop("loaded_at")
-    names = {SPIKE: "spike", STUCK: "stuck", OUT: "out_of_range"}
-
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        key = units._groups(b["ts_code"].fillna("").to_numpy(), b["_tile"].to_numpy())
-        lv, la, lp, hv, ha, dv, da, sa, sh, sl, sc = units._arr(b, "lv", "la", "lp", "hv", "ha", "dv", "da", "sa", "sh", "sl", "sc")
-        vol, amount, o, h, lo, c = units._arr(b, "vol", "amount", "open", "high", "low", "close")
-        vp, ap = units.decode_pair(key, b["src"].fillna("").to_numpy(), lv, la, lp, hv, ha, dv, da, sa)
-        traded = vol > 0
-        top, low = np.fmax(o, c), np.fmin(o, c)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            xa = np.where(traded, 2.302585093 * (la + ap - lv - vp - lp), np.nan)
-            xh = np.where(traded & (h > 0) & (top > 0), np.log(h / top), np.nan)
-            xl = np.where(traded & (lo > 0) & (low > 0), np.log(low / lo), np.nan)
-        # without a close the day's own move adds to what is usual
-        move = np.where(np.isnan(c) | np.isnan(o), np.where(np.isnan(sc), 0.03, sc), 0.0)
-        beyond = lambda bad: traded & bad
-        day = b["_day"].to_numpy(dtype=np.float64, na_value=-1e9)
-        got = flag_series(key, day, {
-            "amount": (amount, xa, np.hypot(sa * 2.302585093, move), beyond(amount <= 0), False),
-            "high": (h, xh, sh + move, beyond((h <= 0) | (h < top - 1e-9)), True),
-            "low": (lo, xl, sl + move, beyond((lo <= 0) | (lo > low + 1e-9)), True),
-        })
-        own = ~b["_ctx"].to_numpy() & traded
-        ids = b["row_id"].to_numpy()
-        hits = [(i, np.flatnonzero(own & (s != NORMAL)), s) for i, s in enumerate(got.values())]
+    r = units.daily_readings(daily, feeds)
+    names = ["plausible", "spike", "stuck", "out_of_range"]
+
+    def judge(a: Arrays, msg: np.ndarray) -> pd.DataFrame:
+        traded = a["vol"] > 0
+        hits = [(i, np.flatnonzero(traded & (s != NORMAL)), s) for i, s in enumerate(states(a, msg).values())]
         return pd.DataFrame({
-            "row_id": np.concatenate([ids[k] for _, k, _ in hits]),
+            "row_id": np.concatenate([a["row_id"][k] for _, k, _ in hits]),
             "f": np.concatenate([np.full(len(k), i, np.int32) for i, k, _ in hits]),
             "s": np.concatenate([s[k].astype(np.int32) for _, k, s in hits]),
         })
 
-    got = t.mapInPandas(lambda bs: units.by_entity(bs, ["ts_code", "_tile"], solve), "row_id long, f int, s int")
+    got = series.by_series(r, chain, WIDTH, judge, "row_id long, f int, s int", floor, units.source_noise(r))
     word = lambda c, ws: F.element_at(F.array(*[F.lit(w) for w in ws]), F.col(c) + 1)
-    return got.select("row_id", word("f", ["amount", "high", "low"]).alias("field"), word("s", ["plausible", *names.values()]).alias("state"))
+    return got.select("row_id", word("f", FIELDS).alias("field"), word("s", names).alias("state"))

@@ -1,27 +1,27 @@
 """Quantities recorded in different units, brought to a common one.
 
 A unit is the hidden state of a device (an entity as reported by one source):
-a hidden Markov model whose Viterbi path explains the device's log-values by
+a hidden Markov model whose Viterbi scores explain the device's log-values by
 jumps of known size against the entity's smooth level. Two quantities that are
 tied by a product (amount = volume x price) are decoded together, so that a
 unit of one that is odd for its level must also fit the other. A unit named in
 the row's own text fixes the state; a declaration for the source is a prior.
 
-Text is parsed in SQL. The chain runs over Arrow batches sorted by entity; an
-entity with too many rows for one task is split by day, each part seeing the
-neighbouring days through one representative reading a day.
+Text is parsed in SQL, each remark by one pattern a quantity. The chains run in
+`series.by_series`: over one representative a device and day, each row then being judged by its
+own emission under the scores of its day, wherever the row is processed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators.skew import hot_keys
+from loomspan.operators.series import Arrays, by_series, runs
 
 # Unit words and the factor to the common unit as a power of ten.
 VOLUME_WORDS = {"x10000 sh": 4, "10k sh": 4, "wan shares": 4, "万股": 4, "x100 sh": 2, "lots of 100": 2, "lots": 2, "hands": 2, "手": 2, "single shares": 0, "shares": 0, "sh": 0, "股": 0}
@@ -34,47 +34,42 @@ VALUE_WORDS = {"100m cny": 4, "亿元": 4, "亿": 4, "mn cny": 2, "百万元": 2
 VOLUME_UNITS, AMOUNT_UNITS, VALUE_UNITS = (0, 2, 4), (0, 3, 4, 6, 8), (0, 2, 4, -4)
 
 
+# What may stand before a unit word that names a unit, and after it.
+_BEFORE = r"(?:[=:：(（|/、;,，]|\b(?:in|as|said|says|is|are|and|units?|vol|volume|qty|quantity|amt|amount|turnover|value|mv|total_mv|v|a)\b|单位|成交量|成交额|市值|[量额按为是和])\s*"
+_AFTER = r"(?=\s*(?:$|[;,，|/)）、。.]|(?:and|by|per|for)\b|和|\b(?:vol|volume|qty|quantity|amt|amount|turnover|value|v|a)\b\s*[=:：(]?|成交|量|额))"
+
+
 def _alt(words: dict[str, int]) -> str:
-    return "(" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+    return "|".join(sorted(words, key=len, reverse=True))
 
 
 def _power(word: Column, words: dict[str, int]) -> Column:
-    by: dict[int, list[str]] = {}
-    for w, p in words.items():
-        by.setdefault(p, []).append(w)
-    out = F.lit(None).cast("int")
-    for p, ws in by.items():
-        out = F.when(word.isin(ws), F.lit(p)).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), word)
 
 
-def _first(text: Column, patterns: Sequence[tuple[str, int]], words: dict[str, int]) -> Column:
-    found = [F.when(F.regexp_extract(text, p, g) != "", F.regexp_extract(text, p, g)) for p, g in patterns]
-    return _power(F.coalesce(*found), words)
+def _named(remark: Column, words: dict[str, int], others: Sequence[dict[str, int]] = ()) -> Column:
+    """A unit word counts where the remark says that it is one: after a quantity, a preposition, a colon or the like
+    and before the end, a separator or the next quantity; or where the remark consists of unit words alone."""
+    mine, every = _alt(words), "|".join([_alt(words), *map(_alt, others)])
+    alone = rf"^(?:(?:{every})\s*(?:[/、,，;]|and\b|和)\s*)*({mine})(?=(?:\s*(?:[/、,，;]|and\b|和)\s*(?:{every}))*$)"
+    m = F.regexp_extract(F.lower(F.trim(remark)), rf"{_BEFORE}({mine}){_AFTER}|{alone}", 0)
+    # the match without what stands before it
+    return _power(F.regexp_extract(m, rf"({mine})$", 1), words)
 
 
 def named_volume(remark: Column) -> Column:
-    """The power of ten of the volume unit that a remark names; null if it names none.
-
-    A unit word counts only where the remark says that it is one: "a lot of
-    revisions" or "shares desk on leave" name nothing.
-    """
-    v, a, t = _alt(VOLUME_WORDS), _alt(AMOUNT_WORDS), F.lower(F.trim(remark))
-    end = r"(?:$|[;,，|)\s、])"
-    return _first(t, [(rf"(?:^v=|\bvol in |\bvolume given as |\| vol |成交量单位|成交量\(|^量:|^量按|^file header said ){v}{end}", 1), (rf"^{v}/{a}$", 1), (rf"单位 {a}、{v}$", 2)], VOLUME_WORDS)
+    """The power of ten of the volume unit that a remark names; null if it names none: "a lot of revisions" or "shares desk on leave"."""
+    return _named(remark, VOLUME_WORDS, (AMOUNT_WORDS,))
 
 
 def named_amount(remark: Column) -> Column:
     """The power of ten of the amount unit that a remark names; null if none."""
-    v, a, t = _alt(VOLUME_WORDS), _alt(AMOUNT_WORDS), F.lower(F.trim(remark))
-    end = r"(?:$|[;,，|)\s、])"
-    return _first(t, [(rf"(?:;a=|^a=|\bamt in |\bamt |\bturnover quoted in |成交额单位|成交额\(|额:|^额按|^file header said {v} and ){a}{end}".replace(v, v.replace("(", "(?:", 1)), 1), (rf"^{v}/{a}$", 2), (rf"单位 {a}、{v}$", 1)], AMOUNT_WORDS)
+    return _named(remark, AMOUNT_WORDS, (VOLUME_WORDS,))
 
 
 def named_value(remark: Column) -> Column:
     """The power of ten (to units of 10,000) of the market-value unit a remark names."""
-    m, t = _alt(VALUE_WORDS), F.lower(F.trim(remark))
-    return _first(t, [(rf"(?:^mv\(|^total_mv in |^unit |市值:|总市值单位 ){m}(?:$|[)\s])", 1)], VALUE_WORDS)
+    return _named(remark, VALUE_WORDS)
 
 
 def declared(word: Column, words: dict[str, int]) -> Column:
@@ -108,60 +103,6 @@ def with_feeds(df: DataFrame, feeds: DataFrame, source: str, day: str, columns:
     return j.withColumn("_d", hit).select(*df.columns, *[F.col(f"_d.decl_{c}").alias(f"decl_{c}") for c in columns])
 
 
-def entity_tiles(df: DataFrame, entity: str, day: str, order: Sequence[str], context: int, floor: int = 200_000) -> DataFrame:
-    """Adds _tile and _ctx, and splits hot entities.
-
-    Usually every entity is one tile. An entity with more than `floor` rows
-    (and 1/1000 of all) becomes tiles of one day (a day of more than `floor` rows, several); each
-    tile gets, as rows with _ctx true, one representative of each of the
-    `context` preceding and following days: the latest row by `order`.
-    """
-    hot = hot_keys(df, entity, floor)
-    base = lambda d: d.withColumn("_tile", F.lit(0).cast("long")).withColumn("_ctx", F.lit(False))
-    if not hot:
-        return base(df)
-    cold, warm = df.where(~F.coalesce(F.col(entity).isin(hot), F.lit(False))), df.where(F.col(entity).isin(hot))
-    days = warm.groupBy(entity, day).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(*order, *[c for c in df.columns if c not in order])).alias("_r"))
-    w = Window.partitionBy(entity).orderBy(F.col(day).asc_nulls_first())
-    days = days.withColumn("_i", F.row_number().over(w)).withColumn("_parts", F.ceil(F.col("_n") / floor).cast("long"))
-    ids = days.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), "_i", "_parts")
-    own = warm.join(ids, warm[entity].eqNullSafe(ids["_e"]) & warm[day].eqNullSafe(ids["_d"]))
-    own = own.withColumn("_tile", F.col("_i") * 1_000_000 + F.pmod(F.xxhash64(*order), F.col("_parts"))).withColumn("_ctx", F.lit(False))
-    near = days.select("_r", F.col(entity).alias("_e0"), "_i", F.explode(F.sequence(F.col("_i") - context, F.col("_i") + context)).alias("_j"))
-    near = near.where("_i <> _j").join(ids.select(F.col("_e").alias("_e1"), F.col("_i").alias("_i1"), "_parts"), (F.col("_e0") == F.col("_e1")) & (F.col("_j") == F.col("_i1")))
-    ctx = near.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).select("_r.*", (F.col("_j") * 1_000_000 + F.col("_k")).alias("_tile"), F.lit(True).alias("_ctx"))
-    cols = [*df.columns, "_tile", "_ctx"]
-    return base(cold).select(cols).unionByName(own.select(cols)).unionByName(ctx.select(cols))
-
-
-def by_entity(batches: Iterator[pd.DataFrame], keys: Sequence[str], solve: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """`solve` on runs of whole (entity, tile) groups; a group that a batch cuts waits for its rest."""
-    kept: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        if kept:
-            b = pd.concat([*kept, b], ignore_index=True)
-        tail = np.ones(len(b), bool)
-        for k in keys:
-            col = b[k]
-            last = col.iloc[-1]
-            tail &= (col.isna() if pd.isna(last) else col == last).to_numpy()
-        kept = [b[tail]]
-        if not tail.all():
-            yield solve(b[~tail])
-    if kept:
-        yield solve(kept[0])
-
-
-def _groups(*cols: np.ndarray) -> np.ndarray:
-    """Ids of runs of equal values (rows are sorted)."""
-    new = np.zeros(len(cols[0]), bool)
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
-
-
 def smooth_level(group: np.ndarray, value: np.ndarray, half: int = 10) -> np.ndarray:
     """Per row the median of the known values of its group within +-half rows; the group's median where those are few, NaN where none is known."""
     out = np.full(len(value), np.nan)
@@ -185,42 +126,30 @@ def smooth_level(group: np.ndarray, value: np.ndarray, half: int = 10) -> np.nda
     return out
 
 
-def viterbi(dev: np.ndarray, emit: np.ndarray, change: float) -> np.ndarray:
-    """Most likely state of each row: chains are runs of equal `dev`; `emit` [n, states] log-likelihoods; a change of state costs `change`.
+def viterbi_scores(dev: np.ndarray, emit: np.ndarray, change: float) -> np.ndarray:
+    """Viterbi in both directions: [n, states], the score of the best path of the row's chain through each state, without the
+    row's own emission.
 
-    All chains of a block step together: step t handles the t-th row of every
-    chain, so the Python loop is as long as the longest chain only.
+    Chains are runs of equal `dev`; `emit` [n, states] log-likelihoods; a change of state costs
+    `change`. The state with the greatest score plus own emission is that of the best path. All chains of a
+    block step together, so the Python loop is as long as the longest chain only.
     """
     n, s = emit.shape
+    out = np.zeros((n, s))
     if not n:
-        return np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.r_[True, dev[1:] != dev[:-1]])
-    length = np.diff(np.r_[starts, n])
+        return out
+    starts, length = runs(dev)
     order = np.argsort(-length, kind="stable")
     starts, length = starts[order], length[order]
-    back = np.zeros((n, s), np.int8)
-    score = emit[starts].copy()
-    active = len(starts)
-    final = np.zeros((len(starts), s))
-    final[:] = score
-    for t in range(1, int(length[0])):
-        active = int(np.searchsorted(-length, -t, side="left"))  # chains longer than t
-        prev = score[:active]
-        best = prev.argmax(1)
-        top = prev[np.arange(active), best][:, None] - change
-        stay = prev >= top
-        rows = starts[:active] + t
-        back[rows] = np.where(stay, np.arange(s)[None, :], best[:, None])
-        score[:active] = np.where(stay, prev, top) + emit[rows]
-        final[:active] = score[:active]
-    state = np.zeros(n, np.int64)
-    cur = final.argmax(1)
-    for t in range(int(length[0]) - 1, -1, -1):
-        active = int(np.searchsorted(-length, -t, side="left"))
-        rows = starts[:active] + t
-        state[rows] = cur[:active]
-        cur[:active] = back[rows, cur[:active]]
-    return state
+    for first, step in ((starts, 1), (starts + length - 1, -1)):
+        score = emit[first].copy()
+        for t in range(1, int(length[0])):
+            k = int(np.searchsorted(-length, -t, side="left"))  # chains longer than t
+            got = np.maximum(score[:k], score[:k].max(1, keepdims=True) - change)
+            rows = first[:k] + step * t
+            out[rows] += got
+            score[:k] = got + emit[rows]
+    return out
 
 
 def _mix(x: np.ndarray, sd: float | np.ndarray, wide: float, heavy: float = 0.02) -> np.ndarray:
@@ -241,112 +170,166 @@ def _prior(hint: np.ndarray, decl: np.ndarray, units: Sequence[int], against: fl
     return np.where(known[:, None], np.where(hint[:, None] == u, 0.0, -1e6), p)
 
 
-def decode_pair(entity: np.ndarray, source: np.ndarray, lv: np.ndarray, la: np.ndarray, lp: np.ndarray, hv: np.ndarray, ha: np.ndarray, dv: np.ndarray, da: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ten of volume and amount, for rows sorted by (entity, time).
+def _log10(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((x > 0) & (x < np.inf), np.log10(x), np.nan)
+
+
+class Pair:
+    """Volume and amount, tied by the price. States are pairs of powers of ten."""
+
+    states = np.array([(v, a) for v in VOLUME_UNITS for a in AMOUNT_UNITS], float)
+    half = 10
+
+    def __init__(self, a: Arrays):
+        self.fv, self.fa = self.states[:, 0], self.states[:, 1]
+        o, c = a["open"], a["close"]
+        self.lv, self.la = _log10(a["vol"]), _log10(a["amount"])
+        self.lp = _log10((np.where(np.isnan(o), c, o) + np.where(np.isnan(c), o, c)) / 2)
+        self.hv, self.ha, dv, da = a["hv"], a["ha"], a["dv"], a["da"]
+        self.prior = _prior(self.hv, dv, VOLUME_UNITS)[:, [VOLUME_UNITS.index(int(x)) for x in self.fv]] + _prior(self.ha, da, AMOUNT_UNITS)[:, [AMOUNT_UNITS.index(int(x)) for x in self.fa]]
+        self.said = np.where(~np.isnan(self.hv), self.hv, dv), np.where(~np.isnan(self.ha), self.ha, da)
+        self.sd = np.clip(1.5 * np.where(np.isnan(a["sa"]), 0.07, a["sa"]), 0.002, 0.15)[:, None]
+
+    def lead(self, state: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the volume in common units, as text and declarations have it or as decoded; the amount over the price stands in for it."""
+        v, a = self.said if state is None else (self.fv[state], self.fa[state])
+        x = self.lv + v
+        return np.where(np.isnan(x), self.la + a - self.lp, x)
+
+    def emit(self, level: np.ndarray) -> np.ndarray:
+        e = self.prior + _mix(self.lv[:, None] + self.fv - level[:, None], 0.35, 1.0)
+        pair = self.la[:, None] + self.fa - self.lv[:, None] - self.fv - self.lp[:, None]
+        alone = np.where(np.isnan(self.lv)[:, None], self.la[:, None] + self.fa - self.lp[:, None] - level[:, None], np.nan)
+        return e + _mix(pair, self.sd, 0.7) + _mix(alone, 0.35, 1.0)
+
+    def powers(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(np.isnan(self.hv), self.fv[state], self.hv), np.where(np.isnan(self.ha), self.fa[state], self.ha)
+
+
+class Single:
+    """One quantity."""
+
+    states = np.array([(u,) for u in VALUE_UNITS], float)
+    half = 4
+
+    def __init__(self, a: Arrays):
+        self.f = self.states[:, 0]
+        self.lx, self.hint = _log10(a["x"]), a["hint"]
+        self.prior = _prior(self.hint, a["decl"], VALUE_UNITS)
+        self.said = np.where(~np.isnan(self.hint), self.hint, a["decl"])
 
-    lv, la, lp: log10 of volume, amount and price (NaN: missing); hv, ha: named
-    units, dv, da: declared ones, as powers (NaN: none); noise: the source's
-    usual deviation of amount from volume x price, in log10.
+    def lead(self, state: np.ndarray | None = None) -> np.ndarray:
+        return self.lx + (self.said if state is None else self.f[state])
+
+    def emit(self, level: np.ndarray) -> np.ndarray:
+        return self.prior + _mix(self.lx[:, None] + self.f - level[:, None], 0.3, 1.0)
+
+    def powers(self, state: np.ndarray) -> tuple[np.ndarray]:
+        return (np.where(np.isnan(self.hint), self.f[state], self.hint),)
+
+
+def unit_messages(model: type, a: Arrays) -> np.ndarray:
+    """[n, states + 1]: Viterbi scores of each representative's states without its own emission, and its entity's level.
+
+    `a` is sorted by entity, day and source. The level starts from what text and declarations say and is
+    taken once more from the decoded values.
     """
-    n = len(lv)
-    if not n:
-        return np.zeros(0), np.zeros(0)
-    sd = np.clip(1.5 * np.where(np.isnan(noise), 0.07, noise), 0.002, 0.15)[:, None]
-    states = [(v, a) for v in VOLUME_UNITS for a in AMOUNT_UNITS]
-    fv, fa = np.array([s[0] for s in states], float), np.array([s[1] for s in states], float)
-    prior = _prior(hv, dv, VOLUME_UNITS)[:, [VOLUME_UNITS.index(s[0]) for s in states]] + _prior(ha, da, AMOUNT_UNITS)[:, [AMOUNT_UNITS.index(s[1]) for s in states]]
-    best_v = np.where(~np.isnan(hv), hv, dv)
-    best_a = np.where(~np.isnan(ha), ha, da)
-    # level in common units, from what text and declarations say at first; amount over price stands in for volume
-    lead = lv + best_v
-    lead = np.where(np.isnan(lead), la + best_a - lp, lead)
-    group = _groups(entity)
-    src = pd.factorize(source)[0]
-    by_dev = np.lexsort((np.arange(n), src, group))
-    dev = _groups(group[by_dev], src[by_dev])
-    state = np.zeros(n, np.int64)
+    m = model(a)
+    n = len(a["ent"])
+    by_dev = np.lexsort((np.arange(n), a["src"], a["ent"]))
+    e0, s0 = a["ent"][by_dev], a["src"][by_dev]
+    dev = np.cumsum(np.r_[True, (e0[1:] != e0[:-1]) | (s0[1:] != s0[:-1])]) if n else e0
+    lead, out = m.lead(), np.zeros((n, len(m.states) + 1))
     for _ in range(2):
-        level = smooth_level(group, lead)
-        e = prior + _mix(lv[:, None] + fv[None, :] - level[:, None], 0.35, 1.0)
-        pair = la[:, None] + fa[None, :] - lv[:, None] - fv[None, :] - lp[:, None]
-        alone = np.where(np.isnan(lv)[:, None], la[:, None] + fa[None, :] - lp[:, None] - level[:, None], np.nan)
-        e = e + _mix(pair, sd, 0.7) + _mix(alone, 0.35, 1.0)
-        state[by_dev] = viterbi(dev, e[by_dev], 1.0)
-        lead = np.where(np.isnan(lv), la + fa[state] - lp, lv + fv[state])
-    return np.where(np.isnan(hv), fv[state], hv), np.where(np.isnan(ha), fa[state], ha)
-
-
-def decode_single(entity: np.ndarray, source: np.ndarray, lx: np.ndarray, hint: np.ndarray, decl: np.ndarray, units: Sequence[int] = VALUE_UNITS) -> np.ndarray:
-    """Powers of ten of one quantity, for rows sorted by (entity, time)."""
-    n = len(lx)
-    if not n:
-        return np.zeros(0)
-    f = np.asarray(units, float)
-    prior = _prior(hint, decl, units)
-    lead = lx + np.where(~np.isnan(hint), hint, decl)
-    group = _groups(entity)
-    src = pd.factorize(source)[0]
-    by_dev = np.lexsort((np.arange(n), src, group))
-    dev = _groups(group[by_dev], src[by_dev])
-    state = np.zeros(n, np.int64)
-    for _ in range(2):
-        level = smooth_level(group, lead, 4)
-        e = prior + _mix(lx[:, None] + f[None, :] - level[:, None], 0.3, 1.0)
-        state[by_dev] = viterbi(dev, e[by_dev], 1.0)
-        lead = lx + f[state]
-    return np.where(np.isnan(hint), f[state], hint)
+        out[:, -1] = smooth_level(a["ent"], lead, m.half)
+        e = m.emit(out[:, -1])
+        out[by_dev, :-1] = viterbi_scores(dev, e[by_dev], 1.0)
+        lead = m.lead((out[:, :-1] + e).argmax(1))
+    return out
 
 
-def _log(c: Column) -> Column:
-    x = c.cast("double")
-    return F.when((x > 0) & (x < float("inf")), F.log10(x))
+def decode(model: type, a: Arrays, msg: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Powers of ten of each row by its own emission under its day's scores."""
+    m = model(a)
+    return m.powers((msg[:, :-1] + m.emit(msg[:, -1])).argmax(1))
 
 
 def daily_readings(daily: DataFrame, feeds: DataFrame) -> DataFrame:
-    """What the chain needs of `daily`: ids, logs, named and declared units. One pass, no text leaves the JVM."""
-    price = (F.coalesce("open", "close") + F.coalesce("close", "open")) / 2
-    d = daily.withColumn("_day", F.datediff("trade_date", F.lit("1970-01-01")))
-    d = with_feeds(d, feeds, "src", "trade_date", {"vol_unit": VOLUME_WORDS, "amount_unit": AMOUNT_WORDS})
+    """What the chain needs of `daily`: ids, numbers, named and declared units. One pass, no text leaves the JVM."""
+    d = with_feeds(daily, feeds, "src", "trade_date", {"vol_unit": VOLUME_WORDS, "amount_unit": AMOUNT_WORDS})
     return d.select(
-        "row_id", "ts_code", "_day", "src", "loaded_at", "vol", "amount", "open", "high", "low", "close",
-        _log(F.col("vol")).alias("lv"), _log(F.col("amount")).alias("la"), _log(price).alias("lp"),
-        named_volume(F.col("remark")).cast("double").alias("hv"), named_amount(F.col("remark")).cast("double").alias("ha"),
-        F.col("decl_vol_unit").cast("double").alias("dv"), F.col("decl_amount_unit").cast("double").alias("da"),
+        "row_id", "ts_code", F.datediff("trade_date", F.lit("1970-01-01")).alias("_day"), F.coalesce("src", F.lit("")).alias("src"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("_at"), "vol", "amount", "open", "high", "low", "close",
+        named_volume(F.col("remark")).cast("float").alias("hv"), named_amount(F.col("remark")).cast("float").alias("ha"),
+        F.col("decl_vol_unit").cast("float").alias("dv"), F.col("decl_amount_unit").cast("float").alias("da"),
     )
 
 
-def source_noise(readings: DataFrame, max_sources: int = 100_000) -> DataFrame:
-    """Per source its usual deviation (of the readings whose unit is named or declared), as a standard
-    deviation: 1.4826 x the median or, where the tails are heavier, the 99th percentile / 2.4:
-
-    sa: amount from volume x price, log10; sh, sl: high and low beyond open and close, natural
-    log, of readings not below 0; sc: close from open, natural log. One mergeable sketch a source, so a source of any size is safe. Given back as a
-    broadcast table if there are at most `max_sources`, else as it is.
-    """
-    pair = F.col("la") + F.coalesce("ha", "da") - F.col("lv") - F.coalesce("hv", "dv") - F.col("lp")
-    top, low = F.greatest("open", "close"), F.least("open", "close")
-    up, down = F.log(F.when((F.col("high") >= top) & (top > 0), F.col("high") / top)), F.log(F.when((F.col("low") > 0) & (F.col("low") <= low), low / F.col("low")))
-    near = F.when(F.abs(pair) < 0.5, F.abs(pair))
-
-    def mad(c: Column) -> Column:
-        q = F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.99)), 5000)
-        return F.greatest(q[0] * 1.4826, q[1] / 2.4)
+def named_units(daily: DataFrame) -> DataFrame:
+    """(remark, n, vol_power, amount_power): each remark, how many rows have it and which units it was read to name; null: none."""
+    n = daily.groupBy("remark").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("remark", "n", named_volume(F.col("remark")).alias("vol_power"), named_amount(F.col("remark")).alias("amount_power"))
 
-    traded = readings.where("vol > 0")
-    n = traded.groupBy(F.coalesce("src", F.lit("")).alias("_s")).agg(mad(near).alias("sa"), mad(up).alias("sh"), mad(down).alias("sl"), mad(F.abs(F.log(F.when((F.col("open") > 0) & (F.col("close") > 0), F.col("close") / F.col("open"))))).alias("sc"))
-    rows = n.limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        return n
-    return F.broadcast(readings.sparkSession.createDataFrame(rows, n.schema))
 
+BINS = 25  # a unit of log deviation: bins are 4 % wide
 
-def with_noise(readings: DataFrame) -> DataFrame:
-    n = source_noise(readings)
-    return readings.join(n, F.coalesce(readings["src"], F.lit("")) == n["_s"], "left").drop("_s")
 
+def fit_normal(x: np.ndarray, n: np.ndarray, broad: float = 0.1, rounds: int = 60) -> tuple[float, float]:
+    """(deviation, share of the broad part) of absolute deviations x with counts n, by expectation maximisation.
 
-def _arr(b: pd.DataFrame, *cols: str) -> list[np.ndarray]:
-    return [b[c].to_numpy(dtype=np.float64, na_value=np.nan) for c in cols]
+    A half-normal with a broad component of constant density: what a source usually shows and its spikes.
+    """
+    if not n.sum():
+        return float("nan"), float("nan")
+    o = np.argsort(x)
+    half = x[o][np.searchsorted(np.cumsum(n[o]), n.sum() / 2)]
+    sd, rate = max(1.4826 * half, 1e-6), 0.01
+    for _ in range(rounds):
+        norm = (1 - rate) * 0.7978846 / sd * np.exp(-0.5 * np.minimum((x / sd) ** 2, 1400.0))
+        r = rate * broad / (rate * broad + norm + 1e-300)
+        w = n * (1 - r)
+        if w.sum() <= 0:
+            break
+        rate, sd = min(float((n * r).sum() / n.sum()), 0.5), max(float(np.sqrt((w * x * x).sum() / w.sum())), 1e-6)
+    return sd, rate
+
+
+def source_noise(readings: DataFrame, max_sources: int = 100_000) -> tuple[DataFrame, bool]:
+    """What each source usually shows, and whether the table is small enough to broadcast (at most `max_sources` sources).
+
+    sa, pa: deviation of amount from volume x price, log10, and the share of spikes among those; sh, ph and sl, pl: of high and low
+    beyond open and close, natural log; sc, pc: of close from open; po: the share of readings that break a hard bound. All readings count of
+    which the unit is named or declared. Deviations are counted in bins per source, combined map-side, and each source is
+    fitted on its counts (`fit_normal`), so a source of any size is safe.
+    """
+    r = readings.where("vol > 0")
+    logs = lambda c: F.when((c > 0) & (c < float("inf")), F.ln(c))
+    price = (F.coalesce("open", "close") + F.coalesce("close", "open")) / 2
+    pair = (logs(F.col("amount")) - logs(F.col("vol")) - logs(price)) / 2.302585092994046 + F.coalesce("ha", "da") - F.coalesce("hv", "dv")
+    top, low = F.greatest("open", "close"), F.least("open", "close")
+    dev = lambda c: F.when(c > 0, F.floor(F.ln(F.greatest(c, F.lit(1e-9))) * BINS)).otherwise(F.when(c == 0, -1000))
+    bins = {
+        "a": dev(F.when(F.abs(pair) < 0.5, F.abs(pair))), "h": dev(F.when(F.col("high") >= top, logs(F.col("high")) - logs(top))), "l": dev(F.when(F.col("low") <= low, logs(low) - logs(F.col("low")))),
+        "c": dev(F.abs(logs(F.col("close")) - logs(F.col("open")))), "o": F.when((F.col("high") < top - 1e-9) | (F.col("high") <= 0) | (F.col("low") > low + 1e-9) | (F.col("low") <= 0) | (F.col("amount") <= 0), 1).otherwise(0),
+    }
+    cells = r.select("src", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), v.cast("int").alias("bin")) for k, v in bins.items()])).alias("c")).select("src", "c.*")
+    hist = cells.where("bin is not null").groupBy("src", "f", "bin").agg(F.count(F.lit(1)).alias("n"))
+    names = [("sa", "pa"), ("sh", "ph"), ("sl", "pl"), ("sc", "pc")]
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        out = {"_s": g["src"].iloc[0]}
+        for k, (s, p) in zip("ahlc", names, strict=True):
+            b = g[g["f"] == k]
+            out[s], out[p] = fit_normal(np.exp((b["bin"].to_numpy() + 0.5) / BINS), b["n"].to_numpy(dtype=np.float64))
+        o = g[g["f"] == "o"]
+        out["po"] = float(o["n"][o["bin"] == 1].sum() / max(o["n"].sum(), 1))
+        return pd.DataFrame([out])
+
+    fitted = hist.groupBy("src").applyInPandas(fit, "_s string, " + ", ".join(f"{x} double" for sp in names for x in sp) + ", po double")
+    rows = fitted.limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
+        return fitted, False
+    return F.broadcast(readings.sparkSession.createDataFrame(rows, fitted.schema)), True
 
 
 def common_units_daily(daily: DataFrame, feeds: DataFrame, floor: int = 200_000) -> DataFrame:
@@ -354,20 +337,19 @@ def common_units_daily(daily: DataFrame, feeds: DataFrame, floor: int = 200_000)
 
     powers: of ten, from the stored unit to the common one; null where the
     value is null, 0 or not finite (then the common value is the stored one).
-    Every row comes back once, repeats too.
+    Every row comes back once, repeats too. Rows without a code are one more series, without a day
+    the earliest day. `floor`: see `by_series`; it changes where rows are processed, never the result.
     """
-    r = with_noise(daily_readings(daily, feeds)).drop("open", "high", "low", "close", "loaded_at", "sh", "sl", "sc")
-    t = entity_tiles(r, "ts_code", "_day", ["_day", "row_id"], 10, floor)
-    t = t.repartition("ts_code", "_tile").sortWithinPartitions("ts_code", "_tile", "_day", "row_id")
-    schema = "row_id long, vol double, amount double, vp double, ap double"
-
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        ent = _groups(b["ts_code"].fillna("").to_numpy(), b["_tile"].to_numpy())
-        vp, ap = decode_pair(ent, b["src"].fillna("").to_numpy(), *_arr(b, "lv", "la", "lp", "hv", "ha", "dv", "da", "sa"))
-        own = ~b["_ctx"].to_numpy()
-        return pd.DataFrame({"row_id": b["row_id"].to_numpy()[own], "vol": b["vol"].to_numpy()[own], "amount": b["amount"].to_numpy()[own], "vp": vp[own], "ap": ap[own]})
-
-    out = t.select("row_id", "ts_code", "_tile", "_ctx", "src", "vol", "amount", "lv", "la", "lp", "hv", "ha", "dv", "da", "sa").mapInPandas(lambda bs: by_entity(bs, ["ts_code", "_tile"], solve), schema)
+    r = daily_readings(daily, feeds)
+    noise, small = source_noise(r)
+    r = r.drop("high", "low")
+    side = (noise.select("_s", "sa"), small)
+
+    def judge(a: Arrays, msg: np.ndarray) -> pd.DataFrame:
+        vp, ap = decode(Pair, a, msg)
+        return pd.DataFrame({"row_id": a["row_id"], "vol": a["vol"], "amount": a["amount"], "vp": vp, "ap": ap})
+
+    out = by_series(r, lambda a: unit_messages(Pair, a), len(Pair.states) + 1, judge, "row_id long, vol double, amount double, vp double, ap double", floor, side)
     nn = lambda c: F.when(~F.isnan(c), F.col(c))
     v, a = nn("vol"), nn("amount")
     has = lambda c: c.isNotNull() & (c != 0) & (F.abs(c) < float("inf"))
@@ -381,22 +363,17 @@ def common_units_value(basic: DataFrame, feeds: DataFrame, floor: int = 200_000)
     d = with_feeds(basic, feeds, "src", "trade_date", {"mv_unit": VALUE_WORDS})
     stored = F.when(F.col("total_mv").isNotNull() & ~F.isnan("total_mv"), F.col("total_mv"))
     r = d.select(
-        "row_id", "ts_code", F.datediff("trade_date", F.lit("1970-01-01")).alias("_day"), "src",
+        "row_id", "ts_code", F.datediff("trade_date", F.lit("1970-01-01")).alias("_day"), F.coalesce("src", F.lit("")).alias("src"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("_at"),
         F.coalesce(stored, num).alias("x"),
-        F.coalesce(F.when(stored.isNull(), power), named_value(F.col("remark"))).cast("double").alias("hint"),
-        F.col("decl_mv_unit").cast("double").alias("decl"),
+        F.coalesce(F.when(stored.isNull(), power), named_value(F.col("remark"))).cast("float").alias("hint"),
+        F.col("decl_mv_unit").cast("float").alias("decl"),
     )
-    r = r.withColumn("lx", _log(F.col("x")))
-    t = entity_tiles(r, "ts_code", "_day", ["_day", "row_id"], 10, floor)
-    t = t.repartition("ts_code", "_tile").sortWithinPartitions("ts_code", "_tile", "_day", "row_id")
 
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        ent = _groups(b["ts_code"].fillna("").to_numpy(), b["_tile"].to_numpy())
-        p = decode_single(ent, b["src"].fillna("").to_numpy(), *_arr(b, "lx", "hint", "decl"))
-        own = ~b["_ctx"].to_numpy()
-        return pd.DataFrame({"row_id": b["row_id"].to_numpy()[own], "x": b["x"].to_numpy()[own], "p": p[own]})
+    def judge(a: Arrays, msg: np.ndarray) -> pd.DataFrame:
+        (p,) = decode(Single, a, msg)
+        return pd.DataFrame({"row_id": a["row_id"], "x": a["x"], "p": p})
 
-    out = t.select("row_id", "ts_code", "_tile", "_ctx", "src", "x", "lx", "hint", "decl").mapInPandas(lambda bs: by_entity(bs, ["ts_code", "_tile"], solve), "row_id long, x double, p double")
+    out = by_series(r, lambda a: unit_messages(Single, a), len(Single.states) + 1, judge, "row_id long, x double, p double", floor)
     x = F.when(~F.isnan("x"), F.col("x"))
     p = F.when(x.isNotNull() & (x != 0) & (F.abs(x) < float("inf")), F.col("p").cast("int"))
     return out.select("row_id", p.alias("mv_power"), (x * F.pow(F.lit(10.0), F.coalesce(p, F.lit(0)))).alias("total_mv_10k"))

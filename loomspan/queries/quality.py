@@ -123,6 +123,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd.select(F.lit("daily").alias("tbl"), "row_id", "field").unionByName(b.where("mv_power <> 0").select(F.lit("daily_basic").alias("tbl"), "row_id", F.lit("total_mv").alias("field")))
 
 
+def p3_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each remark of `daily`, its rows and the units it was read to name: what stays unread is seen."""
+    return units.named_units(table(spark, sf_dir, "daily"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds")).select("row_id", "field").distinct()
 
@@ -131,5 +136,5 @@ def p5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p3_remarks, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
 ORACLE = {"p1_found": sql.P1, "p1_statistics": sql.P1_STATISTICS, "p1_masks": sql.P1_MASKS, "p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}

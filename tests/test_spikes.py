@@ -4,11 +4,11 @@ import random
 
 import numpy as np
 
-from loomspan.operators import spikes, units
+from loomspan.operators import series, spikes, units
 from tests.test_units import DAILY, D, feeds
 
 
-def series(seed=1, n=80):
+def series_of(seed=1, n=80):
     rnd = random.Random(seed)
     out = []
     for c in range(3):
@@ -26,11 +26,11 @@ def found(spark, rows, **kw):
 
 
 def test_clean_series_has_none(spark):
-    assert found(spark, series()) == {}
+    assert found(spark, series_of()) == {}
 
 
 def test_planted(spark):
-    r = series()
+    r = series_of()
     r[10][8] *= 4
     r[20][4] *= 1.5
     r[30][5] *= 0.6
@@ -51,7 +51,7 @@ def test_planted(spark):
 
 
 def test_other_unit_is_no_case_and_repeats_count_each(spark):
-    r = series()
+    r = series_of()
     r[10][8] /= 1e4
     r[20][8] *= 5
     r.append([*r[20][:]])
@@ -60,6 +60,42 @@ def test_other_unit_is_no_case_and_repeats_count_each(spark):
     assert set(got) == {(20, "amount"), (9999, "amount")}
 
 
+def test_where_rows_are_processed_changes_nothing(spark):
+    r = series_of()
+    r[10][8] *= 4
+    for i in range(101, 107):
+        r[i][8] = r[100][8]
+    for i in range(240):  # two sources and several readings a day, some of them wrong
+        x = [*r[i]]
+        x[0], x[9], x[11] = 1000 + i, "good" if i % 3 else "none", dt.datetime(2025, 1, 1, i % 5)
+        x[4] *= 1.5 if i % 50 == 7 else 1
+        r.append(x)
+    r += [[5000 + i, None, *x[2:]] for i, x in enumerate(r[:90])]
+    want = found(spark, r)
+    assert len(want) > 10
+    for floor in (40, 170):
+        assert found(spark, r, floor=floor) == want
+
+
+def test_parameters_of_a_source():
+    rng = np.random.default_rng(3)
+    x = np.abs(np.r_[rng.normal(0, 0.01, 20_000), rng.uniform(0.2, 3, 60)])
+    b, n = np.unique(np.floor(np.log(x) * units.BINS), return_counts=True)
+    sd, rate = units.fit_normal(np.exp((b + 0.5) / units.BINS), n.astype(float))
+    assert abs(sd / 0.01 - 1) < 0.03 and 0.002 < rate < 0.005
+    assert all(math.isnan(v) for v in units.fit_normal(np.zeros(0), np.zeros(0)))
+
+
+def test_a_noisier_source_is_judged_by_its_own_measure(spark):
+    r = series_of(n=120)
+    for i, x in enumerate(r):
+        if i % 2:
+            x[9], x[8] = "none", x[8] * math.exp(0.15 * math.sin(i))
+    r[200][8] *= 1.15  # of the exact source
+    got = found(spark, r)
+    assert set(got) == {(200, "amount")}
+
+
 def test_edges(spark):
     nul = [1, None, None, None, None, None, None, None, None, None, None, None]
     idle = [2, "a", D(0), 1.0, 5.0, 9.0, 1.0, 0.0, 7.0, "good", None, None]
@@ -71,15 +107,17 @@ def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(1)
     chain = np.array([0, 0, 0, 1, 1])
     e = rng.random((5, 4)) + 0.01
-    m = spikes.messages(chain, e)
+    go, hold = spikes.steps(rng.random(5) * 0.01, rng.random(5) * 0.01)
+    assert np.allclose(go.sum(1), 1) and np.allclose(hold.sum(1), 1)
+    m = spikes.messages(chain, e, go, hold)
     for c in (0, 1):
         idx = np.flatnonzero(chain == c)
         for k, i in enumerate(idx):
             want = np.zeros(4)
             for p in np.ndindex(*[4] * len(idx)):
-                w = spikes.START[p[0]]
-                for a, b in zip(p, p[1:], strict=False):
-                    w *= spikes.STEP[a, b]
+                w = go[idx[0], p[0]]
+                for a, b, j in zip(p, p[1:], idx[1:], strict=False):
+                    w *= (hold if a == spikes.STUCK else go)[j, b]
                 for j, s in zip(idx, p, strict=True):
                     w *= 1.0 if j == i else e[j, s]
                 want[p[k]] += w
@@ -89,6 +127,6 @@ def test_forward_backward_by_enumeration():
 def test_by_entity_carries_cut_groups():
     import pandas as pd
 
-    b = [pd.DataFrame({"k": ["a", "a"], "v": [1, 2]}), pd.DataFrame({"k": ["a", "b"], "v": [3, 4]}), pd.DataFrame({"k": ["b"], "v": [5]})]
-    got = list(units.by_entity(iter(b), ["k"], lambda d: d.groupby("k", as_index=False).v.sum()))
-    assert pd.concat(got).values.tolist() == [["a", 6], ["b", 9]]
+    b = [pd.DataFrame({"k": list(k), "v": v}) for k, v in (("aa", [1, 2]), ("", []), ("a", [3]), ("ab", [4, 5]), ("b", [6]), ("cd", [7, 8]), ("e", [9]))]
+    got = [g.groupby("k").v.sum().to_dict() for g in series.by_entity(iter(b), "k")]
+    assert {k: v for g in got for k, v in g.items()} == {"a": 10, "b": 11, "c": 7, "d": 8, "e": 9} and sum(len(g) for g in got) == 5

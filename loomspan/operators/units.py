@@ -294,24 +294,27 @@ def fit_normal(x: np.ndarray, n: np.ndarray, broad: float = 0.1, rounds: int = 6
     return sd, rate
 
 
-def source_noise(readings: DataFrame, max_sources: int = 100_000) -> tuple[DataFrame, bool]:
+def source_noise(readings: DataFrame, fields: str = "ahlc", max_sources: int = 100_000) -> tuple[DataFrame, bool]:
     """What each source usually shows, and whether the table is small enough to broadcast (at most `max_sources` sources).
 
     sa, pa: deviation of amount from volume x price, log10, and the share of spikes among those; sh, ph and sl, pl: of high and low
     beyond open and close, natural log; sc, pc: of close from open; po: the share of readings that break a hard bound. All readings count of
-    which the unit is named or declared. Deviations are counted in bins per source, combined map-side, and each source is
+    which the unit is named or declared (for sa). `fields`: which of a, h, l and c are wanted; the others are null. Deviations are counted in bins per source, combined map-side, and each source is
     fitted on its counts (`fit_normal`), so a source of any size is safe.
     """
-    r = readings.where("vol > 0")
     logs = lambda c: F.when((c > 0) & (c < float("inf")), F.ln(c))
     price = (F.coalesce("open", "close") + F.coalesce("close", "open")) / 2
-    pair = (logs(F.col("amount")) - logs(F.col("vol")) - logs(price)) / 2.302585092994046 + F.coalesce("ha", "da") - F.coalesce("hv", "dv")
     top, low = F.greatest("open", "close"), F.least("open", "close")
-    dev = lambda c: F.when(c > 0, F.floor(F.ln(F.greatest(c, F.lit(1e-9))) * BINS)).otherwise(F.when(c == 0, -1000))
-    bins = {
-        "a": dev(F.when(F.abs(pair) < 0.5, F.abs(pair))), "h": dev(F.when(F.col("high") >= top, logs(F.col("high")) - logs(top))), "l": dev(F.when(F.col("low") <= low, logs(low) - logs(F.col("low")))),
-        "c": dev(F.abs(logs(F.col("close")) - logs(F.col("open")))), "o": F.when((F.col("high") < top - 1e-9) | (F.col("high") <= 0) | (F.col("low") > low + 1e-9) | (F.col("low") <= 0) | (F.col("amount") <= 0), 1).otherwise(0),
-    }
+    # each logarithm is taken once: a projection is not merged into one that uses it twice
+    r = readings.where("vol > 0").select(
+        "src", (logs(F.col("amount")) - logs(F.col("vol")) - logs(price)).alias("p"), (F.coalesce("ha", "da") - F.coalesce("hv", "dv")).alias("u"), "high", "low", "amount", "open", "close", top.alias("top"), low.alias("bot"),
+    )
+    broken = (F.col("high") < F.col("top") - 1e-9) | (F.col("high") <= 0) | (F.col("low") > F.col("bot") + 1e-9) | (F.col("low") <= 0) | (F.col("amount") <= 0)
+    ratio = lambda c, d: logs(F.col(c) / F.when(F.col(d) > 0, F.col(d)))
+    devs = {"a": F.abs(F.col("p") / 2.302585092994046 + F.col("u")), "h": ratio("high", "top"), "l": ratio("bot", "low"), "c": F.abs(ratio("close", "open"))}
+    r = r.select("src", *[devs[k].alias(k) for k in fields], *([F.when(broken, 1).otherwise(0).alias("o")] if "h" in fields else []))
+    usable = {"a": F.col("a") < 0.5, "h": F.col("h") >= 0, "l": F.col("l") >= 0, "c": F.lit(True)}
+    bins = {k: F.when(usable[k], F.floor(F.ln(F.greatest(F.col(k), F.when(F.col(k).isNotNull(), F.lit(1e-9)))) * BINS)) for k in fields} | ({"o": F.col("o")} if "h" in fields else {})
     cells = r.select("src", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), v.cast("int").alias("bin")) for k, v in bins.items()])).alias("c")).select("src", "c.*")
     hist = cells.where("bin is not null").groupBy("src", "f", "bin").agg(F.count(F.lit(1)).alias("n"))
     names = [("sa", "pa"), ("sh", "ph"), ("sl", "pl"), ("sc", "pc")]
@@ -341,7 +344,7 @@ def common_units_daily(daily: DataFrame, feeds: DataFrame, floor: int = 200_000)
     the earliest day. `floor`: see `by_series`; it changes where rows are processed, never the result.
     """
     r = daily_readings(daily, feeds)
-    noise, small = source_noise(r)
+    noise, small = source_noise(r, "a")
     r = r.drop("high", "low")
     side = (noise.select("_s", "sa"), small)
 

@@ -188,8 +188,14 @@ def stable_rank(c: Context, x, pct=True, tie_ulps=4) -> Column:
     part = [*c.cs, x.isNull()]
     w = Window.partitionBy(*part).orderBy(x)
     prev = F.lag(x).over(w)
-    # one ULP of x: 2^(exponent - 52), at least the subnormal step
-    step = lambda v: F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(v), F.lit(2.3e-308)))) - 52), F.lit(4.9e-324))
+
+    def step(v: Column) -> Column:
+        """One ULP: 2^(exponent - 52), at least the subnormal step. The logarithm may be a power off beside a power of two, so it is set right by comparison."""
+        a = F.greatest(F.abs(v), F.lit(2.3e-308))
+        p = F.pow(F.lit(2.0), F.floor(F.log2(a)))
+        p = F.when(p > a, p / 2).when(p <= a / 2, p * 2).otherwise(p)
+        return F.greatest(p * 2.0**-52, F.lit(4.9e-324))
+
     near = F.coalesce(x - prev <= int(tie_ulps) * step(prev), F.lit(False))
     chain = F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     cw = Window.partitionBy(*part, chain)

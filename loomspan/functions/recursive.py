@@ -112,52 +112,88 @@ def chips(a, part: str, step: float, decay: float, share: float):
     """Chip distribution: turnover replaces holdings evenly, new ones spread over the day's range.
 
     part winner: share held below the close; part cost: price below which `share` of the chips lie.
-    The grid never gets coarser than `step`: it has (highest - lowest price) / step + 1 points, without a
-    limit, so memory and time per row grow with the entity's price range over `step`.
+    The grid is the multiples of `step`, so it is the same for every history; it grows as prices arrive and a row depends on
+    earlier rows only. It has no limit: memory and time per row grow with the entity's price range so far over `step`.
     """
     high, low, avgp, turn, close = a
     ok = ~np.isnan(high) & ~np.isnan(low)
     out = np.full(len(high), np.nan)
-    if not ok.any():
-        return out
-    lo, hi = np.nanmin(low), np.nanmax(high)
-    n = int(max(2, np.ceil((hi - lo) / step) + 1))
-    grid = np.linspace(lo, hi, n)
-    held = np.zeros(n)
+    held, first = np.zeros(0), 0
     for i in range(len(high)):
         if ok[i]:
             t = min(1.0, max(0.0, (0.0 if np.isnan(turn[i]) else turn[i]) * decay))
-            inside = (grid >= low[i] - 1e-12) & (grid <= high[i] + 1e-12)
             peak = avgp[i] if not np.isnan(avgp[i]) else (high[i] + low[i]) / 2
-            w = np.where(inside, np.maximum(1e-9, 1 - np.abs(grid - peak) / max(high[i] - low[i], step)), 0.0)
+            at = int(np.rint(peak / step))
+            lo, hi = min(at, int(np.ceil(low[i] / step - 1e-9))), max(at, int(np.floor(high[i] / step + 1e-9)))
+            if not len(held):
+                held, first = np.zeros(hi - lo + 1), lo
+            if lo < first:
+                held, first = np.r_[np.zeros(first - lo), held], lo
+            if hi >= first + len(held):
+                held = np.r_[held, np.zeros(hi - first - len(held) + 1)]
+            grid = np.arange(lo, hi + 1) * step
+            w = np.where((grid >= low[i] - 1e-9 * step) & (grid <= high[i] + 1e-9 * step), np.maximum(1e-9, 1 - np.abs(grid - peak) / max(high[i] - low[i], step)), 0.0)
             if not w.any():
-                w[np.abs(grid - peak).argmin()] = 1.0
-            held = held * (1 - t) + t * w / w.sum() if held.any() else w / w.sum()
+                w[at - lo] = 1.0
+            if held.any():
+                held *= 1 - t
+            else:
+                t = 1.0
+            held[lo - first : hi - first + 1] += t * w / w.sum()
         if held.any() and not np.isnan(close[i]):
             if part == "winner":
-                out[i] = held[grid <= close[i] + 1e-12].sum() / held.sum()
+                out[i] = held[: max(0, int(np.floor(close[i] / step + 1e-9)) - first + 1)].sum() / held.sum()
             else:
-                out[i] = grid[min(n - 1, np.searchsorted(np.cumsum(held) / held.sum(), share))]
+                out[i] = (first + min(len(held) - 1, np.searchsorted(np.cumsum(held) / held.sum(), share - 1e-12))) * step
     return out
 
 
 @kernel("rolling_ols")
-def rolling_ols(a, d: int, out: str):
-    """Fitted value or residual of y on the other inputs (with intercept) over the last d rows; expanding if d is 0."""
-    y, x = a[0], np.column_stack([np.ones(len(a[0])), *a[1:]])
+def rolling_ols(a, d: int, out: str, block: int = 4096):
+    """Fitted value or residual of y on the other inputs (with intercept) over the last d rows; expanding if d is 0.
+
+    A row needs d complete rows (expanding: as many complete ones as coefficients). Each window is centred and scaled by its own
+    rows, never a difference of running sums, so no digits are lost where the level is far above the deviation. An input that does not
+    vary gets the coefficient 0.
+    """
+    y, x = a[0], np.column_stack(a[1:]) if len(a) > 1 else np.zeros((len(a[0]), 0))
     ok = ~np.isnan(y) & ~np.isnan(x).any(1)
-    k = x.shape[1]
-    z = np.where(ok[:, None], x, 0.0)
-    w = np.where(ok, y, 0.0)
-    xx, xy = np.cumsum(z[:, :, None] * z[:, None, :], 0), np.cumsum(z * w[:, None], 0)
-    n = np.cumsum(ok)
+    k, res = x.shape[1] + 1, np.full(len(y), np.nan)
+
+    def put(rows: np.ndarray, yw: np.ndarray, xw: np.ndarray) -> None:
+        """rows [m] and their windows yw [m, d], xw [m, d, k - 1]; the last of a window is the row itself."""
+        ym, xm = yw.mean(1), xw.mean(1)
+        xc = xw - xm[:, None, :]
+        sd = np.sqrt((xc**2).mean(1))
+        sd = np.where(sd > 1e-12 * np.maximum(np.abs(xm), 1e-300), sd, np.inf)
+        z = xc / sd[:, None, :]
+        b = np.linalg.pinv(z.transpose(0, 2, 1) @ z, rcond=1e-12, hermitian=True) @ (z.transpose(0, 2, 1) @ (yw - ym[:, None])[:, :, None])
+        fit = ym + (z[:, -1, :] * b[:, :, 0]).sum(1)
+        res[rows] = fit if out == "pred" else yw[:, -1] - fit
+
     if d:
-        xx[d:], xy[d:], n = xx[d:] - xx[:-d].copy(), xy[d:] - xy[:-d].copy(), np.r_[n[:d], n[d:] - n[:-d]]
-    res = np.full(len(y), np.nan)
-    for i in np.flatnonzero(ok & (n >= max(k, d))):
-        b = np.linalg.lstsq(xx[i], xy[i], rcond=None)[0]
-        fit = x[i] @ b
-        res[i] = fit if out == "pred" else y[i] - fit
+        if len(y) >= d >= k:
+            full = np.flatnonzero(np.convolve(ok, np.ones(d), "valid") == d) + d - 1
+            yv, xv = np.lib.stride_tricks.sliding_window_view(y, d), np.lib.stride_tricks.sliding_window_view(x, d, axis=0)
+            for i in range(0, len(full), max(1, block * 16 // (d * k))):
+                r = full[i : i + max(1, block * 16 // (d * k))]
+                put(r, yv[r - d + 1], xv[r - d + 1].transpose(0, 2, 1))
+        return res
+    rows = np.flatnonzero(ok)
+    # running means and centred products, a row at a time (Welford)
+    m, c, n = np.zeros(k), np.zeros((k, k)), 0
+    for i in rows:
+        v = np.r_[x[i], y[i]]
+        n += 1
+        gap = v - m
+        m = m + gap / n
+        c = c + np.outer(gap, v - m)
+        if n >= k:
+            sd = np.sqrt(np.diag(c)[:-1] / n)
+            sd = np.where(sd > 1e-12 * np.maximum(np.abs(m[:-1]), 1e-300), sd, np.inf)
+            b = np.linalg.pinv(c[:-1, :-1] / np.outer(sd, sd), rcond=1e-12, hermitian=True) @ (c[:-1, -1] / sd)
+            fit = m[-1] + ((x[i] - m[:-1]) / sd) @ b
+            res[i] = fit if out == "pred" else y[i] - fit
     return res
 
 
@@ -173,9 +209,7 @@ def run_stages(df: DataFrame, ctx: StagedContext) -> DataFrame:
         schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{s.name}` double" for s in todo])
 
         def solve(b: pd.DataFrame, specs=specs, keep=keep, code=code) -> pd.DataFrame:
-            from loomspan.operators.units import _groups
-
-            chain = _groups(pd.factorize(b[code])[0])
+            chain = pd.factorize(b[code])[0]
             cut = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1], True])
             out = b[keep].copy()
             for name, kind, params, cols in specs:
@@ -190,9 +224,9 @@ def run_stages(df: DataFrame, ctx: StagedContext) -> DataFrame:
             return out
 
         def run(batches: Iterator[pd.DataFrame], solve=solve, code=code) -> Iterator[pd.DataFrame]:
-            from loomspan.operators.units import by_entity
+            from loomspan.operators.series import by_entity
 
-            yield from by_entity(batches, [code], solve)
+            yield from map(solve, by_entity(batches, code))
 
         df = fed.mapInPandas(run, schema)
         # NaN from a kernel means none

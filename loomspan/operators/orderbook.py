@@ -37,7 +37,7 @@ def replay_fifo(events: DataFrame, code: str = "code", day: str = "date") -> Dat
     ahead: quantity before the order at its level when it came. Exact FIFO state is sequential within
     one (code, day); sorted batches hold many of those groups, so small ones cost no task each.
     """
-    from loomspan.operators.units import by_entity
+    from loomspan.operators.series import by_entity
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out: list = []
@@ -65,7 +65,7 @@ def replay_fifo(events: DataFrame, code: str = "code", day: str = "date") -> Dat
     t = dict(events.dtypes)
     fed = events.select(F.col(code).alias("c"), F.col(day).alias("d"), "ms", "seq", "kind", "side", "price", "qty", "id", order_priority(F.col("kind")).alias("_p"))
     fed = fed.repartition("c", "d").sortWithinPartitions("c", "d", "ms", "_p", "seq")
-    out = fed.mapInPandas(lambda bs: by_entity(bs, ["c", "d"], run), f"c {t[code]}, d {t[day]}, id {t['id']}, side string, price {t['price']}, ahead {t['qty']}, filled {t['qty']}, left {t['qty']}, lifetime_ms double")
+    out = fed.mapInPandas(lambda bs: map(run, by_entity(bs, "c", "d")), f"c {t[code]}, d {t[day]}, id {t['id']}, side string, price {t['price']}, ahead {t['qty']}, filled {t['qty']}, left {t['qty']}, lifetime_ms double")
     return out.withColumnRenamed("c", code).withColumnRenamed("d", day)
 
 

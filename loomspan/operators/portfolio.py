@@ -33,26 +33,33 @@ def next_open_day(dates: DataFrame, days: DataFrame, date: str = "date") -> Data
     return d.select(date, F.try_element_at(F.filter("_cal", lambda x: x > F.col(date)), F.lit(1)).alias("execution_date"))
 
 
-def top_k_weights(df: DataFrame, k: int, weighting: str = "equal", signal: str = "signal", mv: str = "total_mv", date: str = "date", code: str = "code") -> DataFrame:
-    """The k highest signals per date (ties by code) with weights that sum to 1.
-
-    equal; score: by signal less the lowest selected, plus its share; market_cap. Codes without a
-    positive market value get none there. A date without a valid signal has no rows.
+def top_k_weights(
+    df: DataFrame, k: int, weighting: str = "equal", signal: str = "signal", mv: str = "total_mv", date: str = "date", code: str = "code", direction: int = 1, gross: float = 1.0, insufficient: str = "use_available"
+) -> DataFrame:
+    """The k best signals per date (highest if `direction` is 1, lowest if -1; ties by code) with weights that sum to `gross`.
+
+    equal; score: by the positive part of signal x direction, a date whose parts are all 0 holds cash; market_cap. Names without
+    weight, in market_cap those without a positive market value, have no row. A date with fewer than k valid signals uses
+    those (use_available) or holds cash (all_cash). A date in cash has no rows.
     """
+    if direction not in (1, -1) or insufficient not in ("use_available", "all_cash"):
+        raise ValueError("direction is 1 or -1, insufficient use_available or all_cash")
     x = fin(F.col(signal))
     w = Window.partitionBy(date).orderBy(F.col("_s").desc(), F.col(code))
-    d = df.withColumn("_s", x).where("_s is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    d = df.withColumn("_s", x * direction).where("_s is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     sec = Window.partitionBy(date)
     if weighting == "equal":
         raw = F.lit(1.0)
     elif weighting == "score":
-        raw = F.col("_s") - F.min("_s").over(sec) + 1e-12
+        raw = F.greatest(F.col("_s"), F.lit(0.0))
     elif weighting == "market_cap":
         raw = F.when(fin(F.col(mv)) > 0, F.col(mv).cast("double")).otherwise(0.0)
     else:
         raise ValueError(f"no weighting {weighting!r}")
     d = d.withColumn("_w", raw)
-    return d.select(F.col(date).alias("decision_date"), code, F.when(F.sum("_w").over(sec) > 0, F.col("_w") / F.sum("_w").over(sec)).otherwise(0.0).alias("target_weight"), "rank").where("target_weight > 0")
+    if insufficient == "all_cash":
+        d = d.withColumn("_n", F.count(F.lit(1)).over(sec)).where(F.col("_n") == k)
+    return d.select(F.col(date).alias("decision_date"), code, F.when(F.sum("_w").over(sec) > 0, F.col("_w") / F.sum("_w").over(sec) * gross).otherwise(0.0).alias("target_weight"), "rank").where("target_weight > 0")
 
 
 def buffered_top_k(df: DataFrame, k: int, retain: int, signal: str = "signal", date: str = "date", code: str = "code", strategy: str | None = None) -> DataFrame:

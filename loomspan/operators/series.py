@@ -10,7 +10,7 @@ sources of them; its rows are joined to the messages and judged anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -54,22 +54,28 @@ def take(a: Arrays, at: np.ndarray) -> Arrays:
     return {k: v[at] for k, v in a.items()}
 
 
-def by_entity(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups of `key`, for batches sorted by it; what a batch cuts waits, and is put together once."""
+def _like(b: pd.DataFrame, keys: Sequence[str], row: pd.Series) -> np.ndarray:
+    m = np.ones(len(b), bool)
+    for k in keys:
+        m &= (b[k].isna() if pd.isna(row[k]) else b[k] == row[k]).to_numpy()
+    return m
+
+
+def by_entity(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of `keys`, for batches sorted by them; what a batch cuts waits, and is put together once."""
     kept: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
-        col = b[key].to_numpy()
         if kept:
-            head = kept[0][key].iloc[0]
-            if col[-1] == head:
+            m = _like(b, keys, kept[0].iloc[0])
+            if m.all():
                 kept.append(b)
                 continue
-            end = int(np.argmax(col != head))
+            end = int(np.argmin(m))
             yield pd.concat([*kept, b[:end]], ignore_index=True)
-            b, col, kept = b[end:], col[end:], []
-        tail = int(np.argmax(col == col[-1]))
+            b = b[end:]
+        tail = int(np.argmax(_like(b, keys, b.iloc[-1])))
         if tail:
             yield b[:tail].reset_index(drop=True)
         kept = [b[tail:]]

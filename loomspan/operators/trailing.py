@@ -31,16 +31,16 @@ def trailing_totals(
     total: str,
     average: str,
     windows: Sequence[int] = (7, 30),
+    version: Sequence[str] = (),
     tile_days: int = 122,
-    block_entities: int = 256,
 ) -> DataFrame:
     """Per entity and calendar day, from its first to its last day in `df`:
 
     total_<w> (sum of `total` over the w days ending with the day; missing days
     and nulls add 0), n_<w> (days in the window with a value of `average`) and avg_<w> (mean of
-    those daily values; null if none). Several rows of one (entity, day): of `total` and `average`
-    the greatest value counts, so that repeats are not counted twice; callers that know which
-    row is right keep only that. NaN counts as null. Rows with a null entity
+    those daily values; null if none). Several rows of one (entity, day): only the one with the
+    greatest `version` (columns in order; nulls least) counts, of equal versions the one with the greatest total, then the greatest
+    average, so that repeats and revisions are not counted twice and both values come from one row. NaN counts as null. Rows with a null entity
     or day are left out; an empty table gives an empty result. A window of zeros gives
     exactly 0: sums are of the window's own days, never differences of running sums.
     """
@@ -50,7 +50,8 @@ def trailing_totals(
     daily = (
         df.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
         .groupBy(F.col(entity).alias("_e"), F.datediff(F.col(day).cast("date"), F.lit("1970-01-01")).alias("_d"))
-        .agg(F.max(num(total)).alias("_v"), F.max(num(average)).alias("_a"))
+        .agg(F.max(F.struct(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(version)], num(total).alias("_v"), num(average).alias("_a"))).alias("_b"))
+        .select("_e", "_d", "_b._v", "_b._a")
     )
     # the day row goes to its own tile and, as halo, to the next one it can reach; span rows fill idle tiles
     own = F.floor(F.col("_d") / tile_days)

@@ -45,7 +45,10 @@ class Spec:
 
 
 def run_factor(df: DataFrame, spec: Spec, code: str = "code", date: str = "date", price: str = "close") -> DataFrame:
-    """Panel -> signal (processed) with its forward label; the date range cuts only at the end, so windows see all history."""
+    """Panel -> signal (processed) with its forward label; the date range cuts only at the end, so windows see all history.
+
+    Formula windows and labels use the whole history; the processing chain sees the universe's members only.
+    """
     mask = None
     if spec.universe:
         members = formula.pool(df, spec.universe, code=code, date=date)
@@ -55,9 +58,9 @@ def run_factor(df: DataFrame, spec: Spec, code: str = "code", date: str = "date"
     s = formula.compute(df, spec.formula, code=code, date=date, mask=mask, params=spec.params, macros=spec.macros, keep=keep)
     s = s.withColumnRenamed(s.columns[-1], "signal")
     s = panel.forward_returns(s, F.col(price), (spec.horizon,), code, date)
-    s = process.run_chain(s, spec.process, date=date, code=code)
     if mask is not None:
         s = s.where("in_universe")
+    s = process.run_chain(s, spec.process, date=date, code=code)
     return tables.between(s, date, spec.start, spec.end)
 
 

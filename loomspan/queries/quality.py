@@ -72,7 +72,9 @@ def p4_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     # canonical codes: one per digits; exchange from the spelling
     spelt = daily.select("digits", "ts_code").unionByName(mirror.select(F.regexp_extract("ts_code", r"(\d{6})", 1).alias("digits"), "ts_code"))
     names = spelt.groupBy("digits").agg(F.max(F.regexp_extract(F.upper("ts_code"), r"(SZ|SH|BJ)", 1)).alias("ex"))
-    return diff.join(names, "digits").select(F.concat_ws(".", "digits", "ex").alias("ts_code"), ymd("trade_date").alias("ymd"), "field", "left_value", "right_value")
+    # a null code has no digits and stays null; a left join, so no difference is lost
+    names = names.select(F.col("digits").alias("_n"), "ex")
+    return diff.join(names, diff["digits"].eqNullSafe(names["_n"]), "left").select(F.when(F.col("digits").isNotNull(), F.concat_ws(".", F.when(F.col("digits") != "", F.col("digits")), F.when(F.col("ex") != "", F.col("ex")))).alias("ts_code"), ymd("trade_date").alias("ymd"), "field", "left_value", "right_value")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,16 @@ def p7_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trailing.trailing_totals(table(spark, sf_dir, "daily"), "ts_code", "trade_date", "vol", "close")
+    return trailing.trailing_totals(table(spark, sf_dir, "daily"), "ts_code", "trade_date", "vol", "close", version=["loaded_at", "row_id"])
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7_trailing with vol brought to shares first, so that feeds in lots and in shares add up."""
+    daily = table(spark, sf_dir, "daily")
+    u = units.common_units_daily(daily, table(spark, sf_dir, "feeds")).select(F.col("row_id").alias("_id"), F.coalesce("vol_shares", F.lit(0.0)).alias("shares"))
+    d = daily.select("row_id", "ts_code", "trade_date", "close", "loaded_at").join(u, F.col("row_id") == F.col("_id"))
+    t = trailing.trailing_totals(d, "ts_code", "trade_date", "shares", "close", version=["loaded_at", "row_id"])
+    return t.select("ts_code", "trade_date", "total_7", "n_7", "avg_7", "total_30", "n_30", "avg_30")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +147,5 @@ def p5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_daily(table(spark, sf_dir, "daily"), table(spark, sf_dir, "feeds"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p3_remarks, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p3_remarks, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing, p7_shares)}
 ORACLE = {"p1_found": sql.P1, "p1_statistics": sql.P1_STATISTICS, "p1_masks": sql.P1_MASKS, "p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}

@@ -98,7 +98,7 @@ cells as (
   select digits, day, 'high' from j where not no_d and not no_m and ((h1 is null) <> (h2 is null) or abs(h1 - h2) > 0.005 + 1e-9 * 0.005 + greatest(abs(h1), abs(h2)) * 4e-16) union all
   select digits, day, 'low' from j where not no_d and not no_m and ((l1 is null) <> (l2 is null) or abs(l1 - l2) > 0.005 + 1e-9 * 0.005 + greatest(abs(l1), abs(l2)) * 4e-16) union all
   select digits, day, 'close' from j where not no_d and not no_m and ((c1 is null) <> (c2 is null) or abs(c1 - c2) > 0.005 + 1e-9 * 0.005 + greatest(abs(c1), abs(c2)) * 4e-16))
-select digits || '.' || ex as ts_code, (year(day) * 10000 + month(day) * 100 + day(day))::bigint as ymd, field from cells join names using (digits)
+select concat_ws('.', nullif(cells.digits, ''), nullif(ex, '')) as ts_code, (year(day) * 10000 + month(day) * 100 + day(day))::bigint as ymd, field from cells left join names on cells.digits is not distinct from names.digits
 """
 
 P6 = """
@@ -116,7 +116,8 @@ left join f on f.ts_code = e.ts_code and f.trade_date = e.trade_date and f.rn =
 """
 
 P7_DAYS = """
-with p as (select ts_code, trade_date as day, max(vol) as v, max(close) as c from daily group by 1, 2),
+with r as (select ts_code, trade_date as day, vol as v, close as c, row_number() over (partition by ts_code, trade_date order by loaded_at desc nulls last, row_id desc) as k from daily),
+p as (select ts_code, day, v, c from r where k = 1),
 s as (select ts_code, min(day) as lo, max(day) as hi from p group by 1),
 g as (select ts_code, unnest(generate_series(lo, hi, interval 1 day))::date as day from s),
 x as (select g.ts_code, g.day, coalesce(p.v, 0) as v, p.c from g left join p on p.ts_code = g.ts_code and p.day = g.day)

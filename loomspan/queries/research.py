@@ -365,33 +365,36 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _collect_stream(stream: DataFrame, name: str) -> DataFrame:
-    return streams.run_to_memory(stream, name)
+def _collect_stream(stream: DataFrame) -> DataFrame:
+    return streams.run_to_files(stream)
 
 
 @query("select event_type, time_bucket(interval '1 day', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_tumbling(spark, sf_dir):
     d = streams.tumbling(_stream(spark, sf_dir), "ts", "1 day", "1 hour", ["event_type"], "value")
-    return _collect_stream(d, "stream_tumbling").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    return _collect_stream(d).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("select event_type, s as start, count(*) as n, round(sum(value), 4) as total from (select event_type, value, unnest([time_bucket(interval '12 hours', ts), time_bucket(interval '12 hours', ts) - interval '12 hours']) as s from events) group by 1, 2")
 def stream_sliding(spark, sf_dir):
     d = streams.sliding(_stream(spark, sf_dir), "ts", "1 day", "12 hours", "1 hour", ["event_type"], "value")
-    return _collect_stream(d, "stream_sliding").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    return _collect_stream(d).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("""with g as (select user_id, ts, value, case when ts - lag(ts) over w < interval '2 hours' then 0 else 1 end as b from events window w as (partition by user_id order by ts)), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, count(*) as n, round(sum(value), 4) as total from s group by user_id, k""")
 def stream_sessions(spark, sf_dir):
     d = streams.sessions(_stream(spark, sf_dir), "ts", "2 hours", "1 hour", ["user_id"], "value")
-    return _collect_stream(d, "stream_sessions").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+    return _collect_stream(d).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""with e as (select user_id, ts, event_id, case when event_type in ('signup', 'purchase') then value else -value end as q from events),
+s as (select *, sum(q) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from e),
+m as (select *, least(0, min(s) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)) as low from s)
+select user_id, round(greatest(0, arg_max(s, (ts, event_id)) - least(0, min(s))), 6) as resting, count(*) as events, count(*) filter (where s < coalesce(low, 0)) as clipped from m group by 1""")
 def stream_running_book(spark, sf_dir):
-    s = _stream(spark, sf_dir).select(F.col("user_id"), "ts", F.when(F.col("event_type").isin("signup", "purchase"), "add").otherwise("fill").alias("kind"), F.col("value").alias("qty"))
-    return r6(streams.run_to_memory(streams.running_book(s, "user_id", "ts", "kind", "qty"), "stream_running_book", "update"))
+    s = _stream(spark, sf_dir).select(F.col("user_id"), "ts", "event_id", F.when(F.col("event_type").isin("signup", "purchase"), "add").otherwise("fill").alias("kind"), F.col("value").alias("qty"))
+    return r6(streams.last_state(streams.run_to_files(streams.running_book(s, "user_id", "ts", "kind", "qty", "event_id"), "update"), "user_id"))
 
 
 @query("select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') group by 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +24,32 @@ def local_session(app: str = "loomspan", cores: str = "*", shuffle_partitions: i
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder named by spark.checkpoint.dir.
+def on_one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors and the driver reach.
 
-    The folder is read from the session; only where none is set (tests on one
-    machine) a temporary one is made.
+    It is read from the session. Where none is set, one on this machine is made only if the session runs on this machine
+    alone (master local), as in tests; on a cluster executors could not share it, so there RuntimeError.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="loomspan-cp-"))
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where
+    if not on_one_machine(sc.master):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-cp-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = shared_folder(df.sparkSession)
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(where)
     return df.checkpoint()

@@ -129,4 +129,6 @@ def test_by_entity_carries_cut_groups():
 
     b = [pd.DataFrame({"k": list(k), "v": v}) for k, v in (("aa", [1, 2]), ("", []), ("a", [3]), ("ab", [4, 5]), ("b", [6]), ("cd", [7, 8]), ("e", [9]))]
     got = [g.groupby("k").v.sum().to_dict() for g in series.by_entity(iter(b), "k")]
+    two = [pd.DataFrame({"k": ["a", None], "d": [1, 1], "v": [1, 2]}), pd.DataFrame({"k": [None, None], "d": [1, 2], "v": [4, 8]})]
+    assert [g.groupby(["k", "d"], dropna=False).v.sum().tolist() for g in series.by_entity(iter(two), "k", "d")] == [[1], [6], [8]]
     assert {k: v for g in got for k, v in g.items()} == {"a": 10, "b": 11, "c": 7, "d": 8, "e": 9} and sum(len(g) for g in got) == 5

@@ -13,8 +13,8 @@ def brute(rows):
         if c is None or d is None:
             continue
         k = days.setdefault(c, {})
-        a, b = k.get(d, (None, None))
-        k[d] = (max((x for x in (a, v) if x is not None), default=None), max((x for x in (b, p) if x is not None), default=None))
+        low = lambda r: tuple(-1.0 if x is None else x for x in r)
+        k[d] = max(k.get(d, (None, None)), (v, p), key=low)
     out = {}
     for c, k in days.items():
         d = min(k)
@@ -58,3 +58,9 @@ def test_nan_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", D(0), float("nan"), float("nan"), 1)], SCHEMA + ", total_7 int")
     r = trailing.trailing_totals(df, "c", "d", "v", "p").first()
     assert r["total_7"] == 0 and r["avg_7"] is None
+
+
+def test_of_revisions_the_latest_row_counts(spark):
+    rows = [("a", D(0), 500.0, 9.0, 1), ("a", D(0), 100.0, 2.0, 3), ("a", D(0), 900.0, None, 2), ("a", D(1), 7.0, 1.0, None), ("a", D(1), None, 5.0, 0)]
+    got = trailing.trailing_totals(spark.createDataFrame(rows, SCHEMA + ", seq int"), "c", "d", "v", "p", version=["seq"]).orderBy("d").collect()
+    assert [(r["total_7"], r["avg_7"]) for r in got] == [(100.0, 2.0), (100.0, 3.5)]

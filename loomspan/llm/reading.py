@@ -27,30 +27,62 @@ MIN_WORDS = 5
 
 
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};")
-NO_PROSE = re.compile(r"^\s*(?:formula|code|sql|columns?)\s*[:=]|[A-Za-z0-9_],[A-Za-z0-9_]+,|\|.*\||\t.*\t")
+#: marks of code, formulas and tables; a comma inside a number is none of them
+SYMBOL = re.compile(r"[_(){}\[\]<>=*/|+\\\t^~`@#$]|,(?=[^\s\d\"'])|(?<!\d),(?=\d)|,(?=\d)(?!\d{3}(?!\d))")
 WORD = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Z]?[a-z]+(?![A-Za-z0-9_])")
 SENTENCE_END = re.compile(r"(?<=[A-Za-z%)])[.!?;](?=\s|$)|\n")
+WRAP = re.compile(r"(?<=[^\s.!?;:])[ \t]*\n[ \t]*(?=[a-z])")
 CJK = re.compile(r"[\u3400-\u9fff]")
+# Frequent short words that mark a language written in Latin letters.
+FUNCTION_WORDS = {
+    "en": "the of and to is that for it was with as by this which from not are",
+    "de": "der die das und ist nicht ein eine mit von zu den auf sich dem als auch",
+    "fr": "le la les des et est une dans pour que qui sur pas avec ne sont aux",
+    "es": "el los las una que por con para del se su como pero esta hay lo",
+    "it": "il che di una per con del della non sono gli anche nel dei lo",
+    "pt": "o os uma que para com do da dos das por mais como foi ao",
+    "nl": "de het een van en dat niet zijn op met voor aan ook te er",
+}
+LANGUAGE_OF: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in _words.split():
+        LANGUAGE_OF.setdefault(_w, []).append(_lang)
 
 
 def prose(text: str) -> str:
-    """The text without tags, entities and lines that are no prose: fewer than five words, column lists, number rows, formulas."""
+    """The text without tags, entities and lines that are no prose.
+
+    A line that goes on in lower case after a line without an end mark is one line with it (hard-wrapped text). No prose:
+    fewer than five words, or one symbol of code or tables in twenty characters.
+    """
     if "<" in text or "&" in text:
         text = TAG.sub(" ", text)
-    return "\n".join(x for x in text.split("\n") if x.count(" ") >= 4 and not NO_PROSE.search(x))
+    lines = (WRAP.sub(" ", text) if "\n" in text else text).split("\n")
+    return "\n".join(x for x in lines if x.count(" ") >= 4 and len(SYMBOL.findall(x)) * 20 < len(x))
+
+
+def english(words: Sequence[str]) -> bool:
+    """Whether no other language has more of its function words among the words than English; with none at all, Latin letters are taken for English."""
+    n: Counter = Counter()
+    seen = Counter(words)
+    for w, langs in LANGUAGE_OF.items():
+        if w in seen:
+            for x in langs:
+                n[x] += seen[w]
+    return n["en"] >= max(n.values(), default=0)
 
 
 def running_words(text: str | None) -> tuple[list[str], int, int, int] | None:
     """(words, tokens, sentences, commas) of a text's prose; None unless it is English.
 
-    English: at least MIN_WORDS words of Latin letters and fewer CJK characters than words.
+    English: at least MIN_WORDS words of Latin letters, fewer CJK characters than words, and English by its function words.
     A word is in letters only, its first perhaps a capital.
     """
     if not text:
         return None
     p = prose(text)
     w = WORD.findall(p)
-    if len(w) < MIN_WORDS or (not p.isascii() and len(CJK.findall(p)) >= len(w)):
+    if len(w) < MIN_WORDS or (not p.isascii() and len(CJK.findall(p)) >= len(w)) or not english(w):
         return None
     sents = sum(len(x.split(None, 2)) > 2 for x in SENTENCE_END.split(p))
     return w, len(p.split()), max(1, sents), p.count(",")

@@ -73,10 +73,26 @@ def test_coverage_is_the_smallest_vocabulary():
 
 
 def test_too_few_labels_and_prose():
-    assert reading.running_words("<b>one</b> two three four five&nbsp;six.\ncode,close,vol\nformula: ts_mean(close, 5) and so on here")[0] == "one two three four five six".split()
+    assert reading.running_words("<b>one</b> two three four five&nbsp;six.\ncode,close,vol\nFormula: ts_mean(close, 5) / ts_mean(close, 9) and so on here")[0] == "one two three four five six".split()
     assert reading.running_words("") is None and reading.running_words("中文 one two three four five" + "字" * 40) is None
 
 
+def test_numbers_and_wrapped_lines_are_prose():
+    long = "The fund grew to 1,000,000 dollars in two years and paid out every investor in full."
+    assert len(reading.running_words(long)[0]) == 15
+    wrapped = "The fund grew\nto a million\ndollars in two\nyears and paid\nout every investor."
+    assert reading.running_words(wrapped)[0] == reading.running_words(wrapped.replace("\n", " "))[0] and reading.running_words(wrapped)[2] == 1
+    for x in ("code,open,high,low,close and more of it", "a | b | c | d | e | f", "1,2,3,4,5 6,7,8,9 and so on", "formula: ts_mean(close, 17) / ts_mean(close, 69) - 1 of it", "one\ttwo\tthree\tfour\tfive six seven eight nine"):
+        assert reading.prose(x) == ""
+
+
+def test_other_languages_are_not_english():
+    assert reading.running_words("Der Fonds ist in zwei Jahren auf eine Million gewachsen und hat alle Anleger mit dem Gewinn bezahlt.") is None
+    assert reading.running_words("Le fonds est dans une phase de croissance et les investisseurs sont pour une distribution des gains.") is None
+    assert reading.running_words("El fondo se llama por su nombre y los inversores esperan que el precio suba con las compras.") is None
+    assert reading.running_words("Heteroskedasticity attenuates orthogonalised securitisation throughout intertemporal reconciliation") is not None
+
+
 def test_no_labels(spark):
     with pytest.raises(ValueError):
         run(spark, [(1, "one two three four five six")], [(1, 3)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(where)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` stored as a compressed table in the shared folder and read back: for results too large for a checkpoint's plain rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import checkpoint
+from loomspan.session import checkpoint, written
 
 SHARES = (0.3, 0.5, 0.65, 0.8, 0.9, 0.95)
 FEATURES = (*[f"rank_{round(100 * s)}" for s in SHARES], "word_letters", "sentence_words", "commas")
@@ -28,7 +28,8 @@ MIN_WORDS = 5
 
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};")
 #: marks of code, formulas and tables; a comma inside a number is none of them
-SYMBOL = re.compile(r"[_(){}\[\]<>=*/|+\\\t^~`@#$]|,(?=[^\s\d\"'])|(?<!\d),(?=\d)|,(?=\d)(?!\d{3}(?!\d))")
+SYMBOL = re.compile(r"[_(){}\[\]<>=*/|+\\\t^~`@#$]|,(?=[^\s\"'])")
+GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 WORD = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Z]?[a-z]+(?![A-Za-z0-9_])")
 SENTENCE_END = re.compile(r"(?<=[A-Za-z%)])[.!?;](?=\s|$)|\n")
 WRAP = re.compile(r"(?<=[^\s.!?;:])[ \t]*\n[ \t]*(?=[a-z])")
@@ -47,6 +48,7 @@ LANGUAGE_OF: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
     for _w in _words.split():
         LANGUAGE_OF.setdefault(_w, []).append(_lang)
+FOREIGN = frozenset(w for w, langs in LANGUAGE_OF.items() if "en" not in langs)
 
 
 def prose(text: str) -> str:
@@ -58,17 +60,22 @@ def prose(text: str) -> str:
     if "<" in text or "&" in text:
         text = TAG.sub(" ", text)
     lines = (WRAP.sub(" ", text) if "\n" in text else text).split("\n")
-    return "\n".join(x for x in lines if x.count(" ") >= 4 and len(SYMBOL.findall(x)) * 20 < len(x))
+    return "\n".join(x for x in lines if x.count(" ") >= 4 and not _marked(x))
+
+
+def _marked(x: str) -> bool:
+    n = len(SYMBOL.findall(x))
+    return n * 20 >= len(x) and (n - len(GROUPED.findall(x))) * 20 >= len(x)
 
 
 def english(words: Sequence[str]) -> bool:
     """Whether no other language has more of its function words among the words than English; with none at all, Latin letters are taken for English."""
+    if FOREIGN.isdisjoint(words):
+        return True
     n: Counter = Counter()
-    seen = Counter(words)
-    for w, langs in LANGUAGE_OF.items():
-        if w in seen:
-            for x in langs:
-                n[x] += seen[w]
+    for w, k in Counter(words).items():
+        for x in LANGUAGE_OF.get(w, ()):
+            n[x] += k
     return n["en"] >= max(n.values(), default=0)
 
 
@@ -96,24 +103,36 @@ def coverage(ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.log1p(ranks[o][np.minimum(at, len(o) - 1)])
 
 
-def word_ranks(docs: DataFrame, text: str) -> DataFrame:
-    """(word, rank) of all words that occur in lower case, over all documents; equal counts share their mean rank.
+def running_text(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """What the texts are read for, once: (row, doc, words, tokens, sents, commas) of each document row that is English
+    prose, its words in lower case; and (word, n), how often each word occurs in lower case.
 
-    Counted per Arrow batch, then map-side and after the shuffle. No global sort of the vocabulary:
-    the one window without a key runs over distinct counts, at most sqrt(2 * running words) rows.
+    Both come from one pass, stored as a compressed table in the shared folder. Words are counted per Arrow batch there.
     """
+    kind = docs.select(F.col(doc)).dtypes[0][1]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter = Counter()
-            for t in b["t"]:
+            out = []
+            for i, key, t in zip(b["row"], b["doc"], b["t"], strict=True):
                 got = running_words(t)
                 if got:
-                    c.update(got[0])
-            low = [(w, n) for w, n in c.items() if w[0].islower()]
-            yield pd.DataFrame({"word": [w for w, _ in low], "n": np.array([n for _, n in low], np.int64)})
+                    c.update(w for w in got[0] if w[0].islower())
+                    out.append((i, key, " ".join(got[0]).lower(), *got[1:], None, None))
+            # a column of one type whatever the batch holds
+            yield pd.DataFrame([*out, *[(None, None, None, None, None, None, w, n) for w, n in c.items()]], columns=["row", "doc", "words", "tokens", "sents", "commas", "word", "n"], dtype=object)
+
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(text).alias("t"))
+    both = written(d.mapInPandas(read, f"row long, doc {kind}, words string, tokens long, sents long, commas long, word string, n long"))
+    return both.where("words is not null").select("row", "doc", "words", "tokens", "sents", "commas"), both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_ranks(counts: DataFrame) -> DataFrame:
+    """(word, rank) by descending count; equal counts share their mean rank.
 
-    counts = docs.select(F.col(text).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    No global sort of the vocabulary: the one window without a key runs over distinct counts, at most sqrt(2 * running words) rows.
+    """
     counts = checkpoint(counts)
     tiers = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
@@ -127,9 +146,9 @@ def features(docs: DataFrame, doc: str, text: str, max_broadcast_words: int = 50
     lower case count (names fall away). Nothing is sampled: ranks are of all documents. The
     vocabulary is broadcast up to `max_broadcast_words`; a larger one is joined by shuffle, with the same result.
     """
-    ranks = word_ranks(docs, text)
-    kind = docs.select(F.col(doc)).dtypes[0][1]
-    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("t"))
+    texts, counts = running_text(docs, doc, text)
+    ranks = word_ranks(counts)
+    kind = dict(texts.dtypes)["doc"]
     schema = f"doc {kind}, n_words int, " + ", ".join(f"{f} double" for f in FEATURES)
     cols = ["doc", "n_words", *FEATURES]
 
@@ -138,34 +157,24 @@ def features(docs: DataFrame, doc: str, text: str, max_broadcast_words: int = 50
         return None if n < MIN_WORDS else (key, n, *coverage(r, w), letters / n, float(np.log1p(tokens / sents)), commas / sents)
 
     if ranks.limit(max_broadcast_words + 1).count() <= max_broadcast_words:
-        table = docs.sparkSession.sparkContext.broadcast({r["word"]: r["rank"] for r in ranks.collect()})
+        table = docs.sparkSession.sparkContext.broadcast({r["word"]: (r["rank"], len(r["word"])) for r in ranks.collect()})
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rank = table.value
             for b in batches:
                 out = []
-                for key, t in zip(b["doc"], b["t"], strict=True):
-                    got = running_words(t)
-                    if got:
-                        known = [(r, len(w)) for w in got[0] if (r := rank.get(w.lower())) is not None]
-                        if known:
-                            a = np.array(known, float)
-                            out.append(row(key, np.ones(len(a)), a[:, 0], a[:, 1].sum(), *got[1:]))
+                for key, words, *more in zip(b["doc"], b["words"], b["tokens"], b["sents"], b["commas"], strict=True):
+                    known = [x for x in map(rank.get, words.split(" ")) if x is not None]
+                    if known:
+                        a = np.array(known, float)
+                        out.append(row(key, np.ones(len(a)), a[:, 0], a[:, 1].sum(), *more))
                 yield pd.DataFrame([x for x in out if x], columns=cols)
 
-        return d.mapInPandas(measure, schema)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, key, t in zip(b["row"], b["doc"], b["t"], strict=True):
-                got = running_words(t)
-                if got:
-                    out += [(i, key, w, n, *got[1:]) for w, n in Counter(x.lower() for x in got[0]).items()]
-            yield pd.DataFrame(out, columns=["row", "doc", "word", "n", "tokens", "sents", "commas"])
+        return texts.drop("row").mapInPandas(measure, schema)
 
+    words = texts.select("row", "doc", "tokens", "sents", "commas", F.explode(F.split("words", " ")).alias("word"))
     # ids may repeat or be null: the row's own number keeps its words together
-    words = d.withColumn("row", F.monotonically_increasing_id()).mapInPandas(spread, f"row long, doc {kind}, word string, n long, tokens long, sents long, commas long")
+    words = words.groupBy("row", "doc", "tokens", "sents", "commas", "word").agg(F.count(F.lit(1)).alias("n"))
     per = words.join(ranks, "word").groupBy("row", "doc", "tokens", "sents", "commas").agg(F.collect_list(F.struct("rank", "n", F.length("word").alias("len"))).alias("ws"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -165,7 +165,7 @@ def simulate(prices: DataFrame, targets: DataFrame, decisions: DataFrame, cash:
     plan = plan.groupBy("execution_date").agg(F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("string"), "target_weight"))).alias("plan"))
     sched = ex.where("execution_date is not null").select("execution_date").distinct().join(plan, "execution_date", "left")
     used = targets.select(F.col(code).alias("_c")).distinct()
-    px = prices.join(F.broadcast(used), F.col(code) == F.col("_c"), "left_semi").groupBy(date).agg(
+    px = prices.join(used, F.col(code) == F.col("_c"), "left_semi").groupBy(date).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("string"), F.col(price).cast("double")))).alias("px"), F.map_from_entries(F.collect_list(F.struct(F.col(code).cast("string"), F.col(mark).cast("double")))).alias("mk")
     )
     days = prices.select(date).distinct().join(px, date, "left").join(sched.withColumn("trades", F.lit(True)), F.col(date) == F.col("execution_date"), "left")

@@ -132,7 +132,7 @@ def _query(bundle: str):
     items = BUNDLES[bundle]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = panels.monthly(spark, sf_dir).join(F.broadcast(panels.attributes(spark, sf_dir)), "code")
+        df = panels.monthly(spark, sf_dir).join(panels.attributes(spark, sf_dir), "code")
         text = "\n".join(f if "=" in f and f.split("=")[0].strip().isidentifier() or f.startswith("def ") else f"{n} = {f}" for n, f, _ in items)
         names = [n for n, _, _ in items]
         out = formula.compute(df, text, names)

@@ -31,7 +31,7 @@ def r6(df: DataFrame, *skip: str, digits: int = 6) -> DataFrame:
 
 
 def _pm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.monthly(spark, sf_dir).join(F.broadcast(panels.attributes(spark, sf_dir)), "code")
+    return panels.monthly(spark, sf_dir).join(panels.attributes(spark, sf_dir), "code")
 
 
 SIGNAL = "signal = ts_mean(close, 3) / ts_delay(close, 1) - 1"
@@ -97,7 +97,11 @@ def eval_coverage(spark, sf_dir):
     return r6(evaluate.coverage(_scored(spark, sf_dir)))
 
 
-@query()
+@query(f"""with {SIGNAL_SQL}, q as (select code, date, date_trunc('quarter', date)::date as period, rank() over (partition by date order by signal) + (count(*) over (partition by date, signal) - 1) / 2.0 as r, count(*) over (partition by date) as n from s0 where signal is not null),
+b as (select code, date, period, greatest(0, least(4, floor((2 * r - 1) * 5 / (2.0 * n)))) as bucket from q),
+l as (select code, period, arg_max(bucket, date) as bucket from b group by 1, 2), i as (select period, row_number() over (order by period) as i from (select distinct period from l)),
+c as (select period, i - lag(i) over w as step, bucket, lag(bucket) over w as before from l join i using (period) window w as (partition by code order by i))
+select period, round(avg((bucket <> before)::int), 6) as turnover, count(*) as n from c where step = 1 group by 1""")
 def eval_bucket_turnover(spark, sf_dir):
     return r6(evaluate.bucket_turnover(_scored(spark, sf_dir), groups=5, period="quarter"))
 
@@ -120,7 +124,10 @@ def analysis_residual_ic(spark, sf_dir):
     return r6(evaluate.residual_ic(_scored(spark, sf_dir), "signal", ["volume"], "forward_return_1d").select("date", "residual_ic", "r2"))
 
 
-@query()
+@query(f"""with {SIGNAL_SQL}, r as (select date, code, signal, close / open - 1 as other from s0),
+a as (select date, code, (rank() over (partition by date order by signal) + (count(*) over (partition by date, signal) - 1) / 2.0) / count(*) over (partition by date) as x from r where signal is not null),
+b as (select date, code, (rank() over (partition by date order by other) + (count(*) over (partition by date, other) - 1) / 2.0) / count(*) over (partition by date) as y from r where other is not null)
+select date, code, round(0.5 * x + 0.5 * y, 6) as signal from a join b using (date, code)""")
 def analysis_composite(spark, sf_dir):
     d = _scored(spark, sf_dir)
     other = formula.compute(_pm(spark, sf_dir), "signal = close / open - 1")
@@ -231,7 +238,12 @@ def portfolio_turnover(spark, sf_dir):
     return r6(portfolio.weight_turnover(t, t))
 
 
-@query()
+@query(f"""with recursive {SIGNAL_SQL}, k as (select date, code, row_number() over (partition by date order by signal desc, code) as r from s0 where signal is not null),
+d as (select date, row_number() over (order by date) as i, list({{'r': r, 'c': code}} order by r) filter (where r <= 8) as best from k group by date),
+h as (select 1::bigint as i, (select list_transform(best[1:5], lambda x: x.c) from d where i = 1) as held
+  union all select d.i, list_concat(list_transform(list_filter(d.best, lambda x: list_contains(h.held, x.c)), lambda x: x.c), list_transform(list_filter(d.best, lambda x: not list_contains(h.held, x.c)), lambda x: x.c)[1:5 - len(list_filter(d.best, lambda x: list_contains(h.held, x.c)))])
+  from h join d on d.i = h.i + 1)
+select date as decision_date, unnest(held) as code, round(1.0 / len(held), 6) as target_weight from h join d using (i)""")
 def portfolio_buffered(spark, sf_dir):
     return r6(portfolio.buffered_top_k(_scored(spark, sf_dir), 5, 8))
 
@@ -268,18 +280,21 @@ def rules_daily_counts(spark, sf_dir):
     return rules.violations(d, rs, ["row_id"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with d as (select *, count(*) over (partition by ts_code, trade_date) as dup, lag(trade_date) over w as last_day, lag(close) over w as last_close from daily window w as (partition by ts_code order by trade_date nulls first, loaded_at nulls first, row_id)), v as (
-select unnest(list_filter([case when high < greatest(open, close, low) - 1e-9 then 'high_below' end, case when low > least(open, close, high) + 1e-9 then 'low_above' end, case when vol < 0 then 'volume_negative' end, case when amount < 0 then 'amount_negative' end, case when vol is null or isnan(vol) then 'volume_missing' end, case when amount is null or isnan(amount) then 'amount_missing' end,
+RULES_SQL = """with d as (select *, count(*) over (partition by ts_code, trade_date) as dup, lag(trade_date) over w as last_day, lag(close) over w as last_close from daily window w as (partition by ts_code order by trade_date nulls first, loaded_at nulls first, row_id)), v as (
+select row_id, src, trade_date, unnest(list_filter([case when high < greatest(open, close, low) - 1e-9 then 'high_below' end, case when low > least(open, close, high) + 1e-9 then 'low_above' end, case when vol < 0 then 'volume_negative' end, case when amount < 0 then 'amount_negative' end, case when vol is null or isnan(vol) then 'volume_missing' end, case when amount is null or isnan(amount) then 'amount_missing' end,
 case when vol > 0 and amount = 0 then 'volume_without_amount' end, case when vol = 0 and amount > 0 then 'amount_without_volume' end, case when dup > 1 then 'duplicate_key' end, case when open is null or high is null or low is null or close is null or isnan(open) or isnan(high) or isnan(low) or isnan(close) then 'price_missing' end, case when open <= 0 or high <= 0 or low <= 0 or close <= 0 then 'price_not_positive' end,
-case when ts_code is null or trade_date is null then 'key_missing' end, case when not coalesce(regexp_matches(ts_code, '^[0-9]{6}[.](SZ|SH|BJ)$'), false) then 'code_form' end, case when last_day >= trade_date then 'order_of_days' end, case when abs(close / nullif(last_close, 0) - 1) > 0.35 then 'jump' end, case when abs(pre_close - last_close) > 0.3 * pre_close then 'pre_close_gap' end], lambda r: r is not null)) as rule from d)
-select rule, count(*) as n from v group by 1""")
+case when ts_code is null or trade_date is null then 'key_missing' end, case when not coalesce(regexp_matches(ts_code, '^[0-9]{6}[.](SZ|SH|BJ)$'), false) then 'code_form' end, case when last_day >= trade_date then 'order_of_days' end, case when abs(close / nullif(last_close, 0) - 1) > 0.35 then 'jump' end, case when abs(pre_close - last_close) > 0.3 * pre_close then 'pre_close_gap' end], lambda r: r is not null)) as rule from d)"""
+RULE_LEVEL = "case when rule = 'key_missing' then 'FATAL' when rule in ('volume_missing', 'amount_missing', 'volume_without_amount', 'amount_without_volume', 'order_of_days', 'jump', 'pre_close_gap') then 'WARNING' else 'ERROR' end"
+
+
+@query(f"{RULES_SQL} select rule, count(*) as n from v group by 1")
 def rules_daily_all_counts(spark, sf_dir):
     """Violations of all daily rules; rows of one day go by arrival."""
     d = table(spark, sf_dir, "daily")
     return rules.violations(d, rules.daily_rules("ts_code", "trade_date", ["loaded_at", "row_id"]), ["row_id"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"{RULES_SQL}, l as (select {RULE_LEVEL} as level, rule, src, trade_date from v) select level, rule, src, trade_date, count(*) as n from l group by grouping sets ((level), (rule), (src), (trade_date))")
 def rules_grouping_sets(spark, sf_dir):
     d = table(spark, sf_dir, "daily")
     return rules.counts(rules.violations(d, rules.daily_rules("ts_code", "trade_date", ["loaded_at", "row_id"]), ["row_id", "src", "trade_date"]), ["src", "trade_date"])
@@ -315,14 +330,17 @@ def intraday_resample(spark, sf_dir):
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a book of a day: added orders have a side and one of four prices, and what fills or cancels goes by its own."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("signup", "purchase"), "add").when(F.col("event_type") == "error", "cancel").otherwise("fill")
     ms = ((F.unix_micros(F.col("ts").cast("timestamp")) / 1000) % 86400000).cast("long")
-    return e.select(F.col("user_id").cast("string").alias("code"), F.to_date("ts").alias("date"), ms.alias("ms"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit("B").alias("side"), F.lit(1.0).alias("price"), F.col("value").alias("qty"), F.col("event_id").alias("id"))
+    side = F.when(F.col("event_id") % 2 == 0, "B").otherwise("S")
+    price = 10.0 + F.floor(F.col("value")) % 4
+    return e.select(F.col("user_id").cast("string").alias("code"), F.to_date("ts").alias("date"), ms.alias("ms"), F.col("event_id").alias("seq"), kind.alias("kind"), side.alias("side"), price.alias("price"), F.col("value").alias("qty"), F.col("event_id").alias("id"))
 
 
-@query("""with o as (select user_id::varchar as code, ts::date as date, event_id as seq, ts, case when event_type in ('signup', 'purchase') then 0 when event_type = 'error' then 2 else 1 end as p, value from events)
-select code, date, seq, round(sum(case when p = 0 then value else -value end) over (partition by code, date order by date_trunc('millisecond', ts), p, seq rows unbounded preceding), 6) as level_qty from o""")
+@query("""with o as (select user_id::varchar as code, ts::date as date, event_id as seq, ts, case when event_type in ('signup', 'purchase') then 0 when event_type = 'error' then 2 else 1 end as p, value, event_id % 2 as side, floor(value) % 4 as price from events)
+select code, date, seq, round(sum(case when p = 0 then value else -value end) over (partition by code, date, side, price order by date_trunc('millisecond', ts), p, seq rows unbounded preceding), 6) as level_qty from o""")
 def orderbook_levels(spark, sf_dir):
     return r6(orderbook.replay_levels(_orders(spark, sf_dir)).select("code", "date", "seq", "level_qty"))
 
@@ -332,7 +350,12 @@ def orderbook_fifo(spark, sf_dir):
     return orderbook.replay_fifo(_orders(spark, sf_dir).withColumn("price", F.lit(1.0)))
 
 
-@query()
+@query("""with o as (select user_id::varchar as code, ts::date as date, event_id as seq, ((epoch_us(ts) / 1000) % 86400000)::bigint as ms0, floor((epoch_us(ts) / 1000) % 86400000)::bigint as ms, case when event_type in ('signup', 'purchase') then 'add' when event_type = 'error' then 'cancel' else 'fill' end as kind, value as qty from events),
+base as (select code, date, count(*) filter (where kind = 'add') as n_add, count(*) filter (where kind = 'fill') as n_fill, count(*) filter (where kind = 'cancel') as n_cancel, sum(qty) filter (where kind = 'fill') as filled, quantile_cont(qty, 0.9) filter (where kind = 'fill') as large_at from o group by 1, 2),
+bs as (select code, date, max(n) as max_burst, avg(n) as mean_burst from (select code, date, ms // 1000 as s, count(*) as n from o group by 1, 2, 3) group by 1, 2),
+gp as (select code, date, avg(gap) as mean_gap, max(gap) as max_gap from (select code, date, ms - lag(ms) over (partition by code, date order by ms, seq) as gap from o where kind = 'fill') group by 1, 2),
+bg as (select code, date, sum(case when qty >= large_at then qty end) / sum(qty) as large_share from o join base using (code, date) where kind = 'fill' group by 1, 2)
+select * replace (round(filled, 6) as filled, round(large_at, 6) as large_at, round(mean_burst, 6) as mean_burst, round(mean_gap, 6) as mean_gap, round(large_share, 6) as large_share) from base left join bs using (code, date) left join gp using (code, date) left join bg using (code, date)""")
 def orderbook_day_stats(spark, sf_dir):
     return r6(orderbook.day_stats(_orders(spark, sf_dir)))
 
@@ -458,7 +481,10 @@ def screen_snapshot(spark, sf_dir):
     return r6(score.score_rank(score.screen_features(panels.daily(spark, sf_dir)), {"r20": 1.0, "up": 0.5, "vol": -0.5}))
 
 
-@query()
+@query(f"""with {INTRADAY}, v as (select code, date, minute_index, close, floor(round(close * 100) * 0.1) as cap from b), o as (select distinct code, date from b),
+u as (select *, least(sum(cap) over (partition by code, date order by minute_index), 500) as upto from v where minute_index <= 5), g as (select *, upto - coalesce(lag(upto) over (partition by code, date order by minute_index), 0) as got from u),
+f as (select code, date, sum(got)::bigint as filled, sum(got * close) / nullif(sum(got), 0) as vwap, count(*) filter (where got > 0) as minutes from g group by 1, 2)
+select code, date, 'BUY' as side, 500::bigint as quantity, 0 as start, 5 as "end", null::double as "limit", filled, round(vwap, 6) as vwap, minutes, 500 - filled as left from o join f using (code, date)""")
 def execution_window_fills(spark, sf_dir):
     from loomspan.operators import execution
 

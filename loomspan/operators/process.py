@@ -59,11 +59,21 @@ def _put(df: DataFrame, signal: str, c: Column) -> DataFrame:
     return df.withColumn(signal, c)
 
 
+def nearest_quantile(x: Column, partition: Sequence[Column], q: float) -> Column:
+    """The observation nearest to the quantile's place, half-way up, over the whole partition."""
+    part = [*partition, x.isNull()]
+    place = F.floor((F.count(x).over(Window.partitionBy(*part)) - 1) * q + 0.5) + 1
+    mine = F.row_number().over(Window.partitionBy(*part).orderBy(x))
+    return F.max(F.when(x.isNotNull() & (mine == place), x)).over(Window.partitionBy(*partition))
+
+
 @register_processor("winsorize")
 def winsorize(df, s, d, _c, quantile=0.99):
-    """Clip to the (1 -+ q) / 2 quantiles of the date, linear interpolation."""
-    q, x = Section(F.col(d)), F.col(s)
-    return _put(df, s, q.clip(x, q.q(x, (1 - quantile) / 2), q.q(x, (1 + quantile) / 2)))
+    """Clip to the (1 -+ q) / 2 quantiles of the date: the observations nearest to those places."""
+    if not 0.5 <= quantile < 1:
+        raise ValueError(f"winsorize: quantile {quantile} is not in [0.5, 1)")
+    df = df.withColumn("_lo", nearest_quantile(F.col(s), [F.col(d)], (1 - quantile) / 2)).withColumn("_hi", nearest_quantile(F.col(s), [F.col(d)], (1 + quantile) / 2))
+    return _put(df, s, Section(F.col(d)).clip(F.col(s), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 @register_processor("standardize")

@@ -134,7 +134,7 @@ def analysis_composite(spark, sf_dir):
     return r6(evaluate.composite({"a": d.select("date", "code", "signal"), "b": other}, rank=True))
 
 
-@query(f"""with {SIGNAL_SQL}, q as (select *, quantile_cont(signal, 0.05) over cs as lo, quantile_cont(signal, 0.95) over cs as hi from s0 window cs as (partition by date)), c as (select *, least(greatest(signal, lo), hi) as x from q),
+@query(f"""with {SIGNAL_SQL}, o as (select *, row_number() over (partition by date, signal is null order by signal) as k, count(signal) over (partition by date) as n from s0), q as (select *, max(case when signal is not null and k = floor((n - 1) * ((1 - 0.9::double) / 2) + 0.5) + 1 then signal end) over cs as lo, max(case when signal is not null and k = floor((n - 1) * ((1 + 0.9::double) / 2) + 0.5) + 1 then signal end) over cs as hi from o window cs as (partition by date)), c as (select *, least(greatest(signal, lo), hi) as x from q),
 z as (select *, (x - avg(x) over cs) / nullif(stddev_samp(x) over cs, 0) as y from c window cs as (partition by date)) select code, date, round(y - avg(y) over (partition by date, industry), 6) as signal from z""")
 def process_winsorize_zscore_industry(spark, sf_dir):
     return r6(process.run_chain(_scored(spark, sf_dir), ["winsorize(quantile=0.9)", "zscore", "neutralize(by=industry)"]).select("code", "date", "signal"))

@@ -6,7 +6,7 @@ import pytest
 
 from tests.oracle import connect, differences
 
-MODULES = [importlib.import_module(m) for m in ("loomspan.queries.quality", "loomspan.queries.operators", "loomspan.queries.catalogue", "loomspan.queries.research")]
+MODULES = [importlib.import_module(m) for m in ("loomspan.queries.quality", "loomspan.queries.operators", "loomspan.queries.catalogue", "loomspan.queries.research", "loomspan.queries.platform")]
 CASES = [(k, m) for m in MODULES for k in m.ORACLE]
 
 

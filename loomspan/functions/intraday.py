@@ -19,22 +19,22 @@ factor_op("im_cummax", "im", 1)(lambda c, x: F.max(dbl(x)).over(c.im.rowsBetween
 factor_op("im_delay", "im", 2, 2, 1)(lambda c, x, k: F.lag(dbl(x), int(k)).over(c.im))
 
 
-def _day(c: Context):
-    return Window.partitionBy(*c.day)
-
-
-factor_op("day_sum", "day", 1)(lambda c, x: F.sum(dbl(x)).over(_day(c)))
-factor_op("day_mean", "day", 1)(lambda c, x: F.avg(dbl(x)).over(_day(c)))
-factor_op("day_max", "day", 1)(lambda c, x: F.max(dbl(x)).over(_day(c)))
-factor_op("day_min", "day", 1)(lambda c, x: F.min(dbl(x)).over(_day(c)))
-factor_op("day_first", "day", 1)(lambda c, x: F.min_by(dbl(x), F.col(c.minute)).over(_day(c)))
-factor_op("day_last", "day", 1)(lambda c, x: F.max_by(dbl(x), F.col(c.minute)).over(_day(c)))
+DAY = {
+    "day_sum": lambda x, m: F.sum(x),
+    "day_mean": lambda x, m: F.avg(x),
+    "day_max": lambda x, m: F.max(x),
+    "day_min": lambda x, m: F.min(x),
+    "day_first": F.min_by,
+    "day_last": F.max_by,
+}
+for _n, _a in DAY.items():
+    factor_op(_n, "day", 1)(lambda c, x, _a=_a: c.day_value(_a, dbl(x)))
 
 
 def at_minute(c: Context, x, k) -> Column:
     if int(k) < 0:
         raise ValueError(f"at_minute: {k} is no minute of the day")
-    return F.max(F.when(F.col(c.minute) == int(k), dbl(x))).over(_day(c))
+    return c.day_value(lambda v, m: F.max(F.when(m == int(k), v)), dbl(x))
 
 
 factor_op("at_minute", "day", 2)(at_minute)

@@ -32,6 +32,10 @@ class Context:
     def day(self) -> list[str]:
         return [self.code, self.date]
 
+    def day_value(self, agg: Callable[[Column, Column], Column], x: Column) -> Column:
+        """An aggregate of x over the rows of its entity and day, on each of them; agg: (x, minute) -> aggregate."""
+        return agg(x, F.col(self.minute)).over(Window.partitionBy(*self.day))
+
     @property
     def im(self) -> WindowSpec:
         return Window.partitionBy(self.code, self.date).orderBy(self.minute)

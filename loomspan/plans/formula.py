@@ -15,6 +15,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from loomspan.functions import crosssection, elementwise, intraday, technical, timeseries  # noqa: F401  (register)
@@ -341,8 +342,43 @@ def pool(df: DataFrame, formula: str, base: Column | None = None, **keys) -> Dat
     return out.join(df.select(*k, base.alias("_base")), k).withColumn("in_universe", F.col("in_universe") & F.coalesce("_base", F.lit(False))).drop("_base")
 
 
+class _NoFold(Exception):
+    pass
+
+
+class FoldContext(StagedContext):
+    """Collects day aggregates instead of computing them on every row."""
+
+    def day_value(self, agg, x: Column) -> Column:
+        if "__day" in str(x):
+            raise _NoFold
+        folds = self.__dict__.setdefault("folds", {})
+        name = f"__day{len(folds)}__"
+        folds[name] = (agg, x)
+        return F.col(name)
+
+
 def daily_fold(df: DataFrame, formula: str, outputs: Sequence[str] | None = None, *, code: str = "code", date: str = "date", minute: str = "minute_index", **kw) -> DataFrame:
-    """A formula over the intraday grid whose outputs are one value a day: (code, date, outputs), one row a day."""
+    """A formula over the intraday grid whose outputs are one value a day: (code, date, outputs), one row a day.
+
+    Where the outputs are made of day aggregates alone, one aggregation with map-side combination computes all of them. Where a
+    day value is used on the grid again, or across rows, the value on the day's last minute is taken.
+    """
+    try:
+        if kw.get("mask") is not None or kw.get("keep"):
+            raise _NoFold
+        ctx = FoldContext(code, date, minute)
+        c = _Compiler(ctx, df.columns, kw.get("macros"))
+        got = c.run(parse(formula, kw.get("params")))
+        names = list(outputs or list(got)[-1:])
+        folds = ctx.__dict__.get("folds")
+        if not folds or any(n not in got or "OVER (" in str(got[n]) or "windowspec" in str(got[n]).lower() for n in names):
+            raise _NoFold
+        grid = run_stages(df, ctx).select(code, date, minute, *[x.alias(f"{n}in") for n, (_, x) in folds.items()])
+        day = grid.groupBy(code, date).agg(*[agg(F.col(f"{n}in"), F.col(minute)).alias(n) for n, (agg, _) in folds.items()])
+        return day.select(code, date, *[_double(got[n]).alias(n) for n in names])
+    except (_NoFold, AnalysisException):  # an output that also reads the grid is not resolved by the days
+        pass
     wide = compute(df, formula, outputs, code=code, date=date, minute=minute, **kw)
     names = [c for c in wide.columns if c not in (code, date, minute)]
     return wide.groupBy(code, date).agg(*[F.max_by(n, F.col(minute)).alias(n) for n in names])

@@ -5,12 +5,13 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
-import os
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.sources import store
+
 
 class Catalog:
     """Tables of a lake by name: <root>/<name> or <root>/<name>.parquet, read as parquet."""
@@ -140,33 +141,26 @@ def read_grid(spark: SparkSession, path: str, names: Mapping[str, str], encoding
     return raw.select(*[F.trim(F.col(f"`{h}`")).alias(n) for h, n in names.items() if h in raw.columns])
 
 
-def write_artifact(df: DataFrame, folder: str, meta: Mapping[str, object]) -> dict:
-    """Signal parquet, then the summary last: its presence marks a complete artefact.
+def write_artifact(df: DataFrame, folder: str, meta: Mapping[str, object], parts: Mapping[str, DataFrame] | None = None) -> dict:
+    """Signal parquet (and further tables by name: labels, panel), then the summary last: its presence marks a complete artefact.
 
-    Local or shared file systems that Python can write; the digest covers the parquet files.
+    Any file system Spark writes. digest: of the signal's rows, whatever their order and files.
     """
-    df.write.mode("overwrite").parquet(f"{folder}/signal")
-    digest = hashlib.sha256()
-    for f in sorted(os.listdir(f"{folder}/signal")):
-        if f.endswith(".parquet"):
-            with open(f"{folder}/signal/{f}", "rb") as h:
-                for block in iter(lambda: h.read(1 << 20), b""):
-                    digest.update(block)
-    summary = {"version": 2, **meta, "rows": df.sparkSession.read.parquet(f"{folder}/signal").count(), "sha256": digest.hexdigest()}
-    tmp = f"{folder}/.summary.json.tmp"
-    with open(tmp, "w") as h:
-        json.dump(summary, h, sort_keys=True, default=str)
-        h.flush()
-        os.fsync(h.fileno())
-    os.replace(tmp, f"{folder}/summary.json")
+    spark = df.sparkSession
+    frames = {"signal": df, **(parts or {})}
+    for name, one in frames.items():
+        one.write.mode("overwrite").parquet(f"{folder}/{name}")
+    back = spark.read.parquet(f"{folder}/signal")
+    got = back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)")).alias("h")).first()
+    summary = {"version": 3, **meta, "parts": sorted(frames), "rows": got["n"], "digest": hashlib.sha256(f"{back.schema.json()}|{got['n']}|{got['h']}".encode()).hexdigest()}
+    store.write_text(spark, f"{folder}/summary.json", json.dumps(summary, sort_keys=True, default=str))
     return summary
 
 
-def read_artifact(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    if not os.path.exists(f"{folder}/summary.json"):
+def read_artifact(spark: SparkSession, folder: str, part: str = "signal") -> tuple[DataFrame, dict]:
+    if not store.exists(spark, f"{folder}/summary.json"):
         raise FileNotFoundError(f"{folder} holds no complete artefact")
-    with open(f"{folder}/summary.json") as h:
-        return spark.read.parquet(f"{folder}/signal"), json.load(h)
+    return spark.read.parquet(f"{folder}/{part}"), json.loads(store.read_text(spark, f"{folder}/summary.json"))
 
 
 def quota(df: DataFrame, by: str, n: int, order: Column) -> DataFrame:

@@ -168,3 +168,21 @@ def test_contracts(spark, panel):
             pn.check_panel(bad)
     with pytest.raises(pn.ContractError):
         pn.check_panel(panel.select("date", "code", "forward_return_1d"), past_only=True)
+
+
+def test_daily_fold_is_one_aggregation_where_it_can_be(spark):
+    rows = [(c, dt.date(2024, 1, 1 + d), m, float((m * 7 + d * 3) % 11), float(m)) for c in "ab" for d in range(3) for m in range(8) if (m + d) % 5]
+    df = spark.createDataFrame(rows, "code string, date date, minute_index int, close double, amount double")
+    cases = {
+        "a = day_first(close)\nb = day_sum(close) / day_max(amount)\nc = at_minute(close, 3)": False,
+        "a = day_sum(im_mean(close, 3)) / day_last(close)\nb = 2 * day_min(close)": True,
+        "a = day_sum(close / day_mean(close))\nb = close - day_mean(close)": True,
+        "a = cs_rank(day_sum(close))\nb = ts_delay(day_mean(close), 1)": True,
+    }
+    for text, windows in cases.items():
+        outs = [x.split(" = ")[0] for x in text.split("\n")]
+        fold = fm.daily_fold(df, text, outs)
+        wide = fm.compute(df, text, outs, minute="minute_index").groupBy("code", "date").agg(*[F.max_by(n, "minute_index").alias(n) for n in outs])
+        near = lambda d: sorted((r["code"], r["date"], *[None if r[n] is None else round(r[n], 9) for n in outs]) for r in d.collect())  # noqa: B023, E731
+        assert near(fold) == near(wide)
+        assert ("Window" in fold._jdf.queryExecution().optimizedPlan().toString()) == windows

@@ -97,9 +97,9 @@ def emissions(x: np.ndarray, sd: np.ndarray, bad: np.ndarray, alike: np.ndarray,
     return e + 1e-300
 
 
-def _deviations(a: Arrays, vp: np.ndarray, ap: np.ndarray) -> dict[str, tuple]:
-    """field -> (stored value, log deviation, usual deviation, beyond a hard bound, one-sided, spike rate)."""
-    m = units.Pair(a)
+def _deviations(a: Arrays, m: units.Pair, msg: np.ndarray) -> dict[str, tuple]:
+    """field -> (stored value, log deviation, usual deviation, beyond a hard bound, one-sided, spike rate), in decoded units."""
+    vp, ap = units.decode(m, msg)
     vol, amount, o, h, lo, c = (a[k] for k in ("vol", "amount", "open", "high", "low", "close"))
     traded = vol > 0
     top, low = np.fmax(o, c), np.fmin(o, c)
@@ -127,8 +127,9 @@ WIDTH = UNITS + 7 * len(FIELDS)
 def chain(a: Arrays) -> np.ndarray:
     """Messages of the unit chains and of the chains of days, for representatives sorted by entity, day and source."""
     out = np.empty((len(a["ent"]), WIDTH))
-    out[:, :UNITS] = units.unit_messages(units.Pair, a)
-    dev = _deviations(a, *units.decode(units.Pair, a, out[:, :UNITS]))
+    m = units.Pair(a)
+    out[:, :UNITS] = units.unit_messages(m, a)
+    dev = _deviations(a, m, out[:, :UNITS])
     # of a day's sources the reading that arrived last
     o = np.lexsort((a["src"], a["row_id"], a["_at"], a["_day"], a["ent"]))
     e, d = a["ent"][o], a["_day"][o]
@@ -150,7 +151,7 @@ def chain(a: Arrays) -> np.ndarray:
 
 def states(a: Arrays, msg: np.ndarray, least: Mapping[str, int] = RUNS) -> dict[str, np.ndarray]:
     """State of each reading and field (0: plausible) under its day's messages."""
-    dev, out = _deviations(a, *units.decode(units.Pair, a, msg[:, :UNITS])), {}
+    dev, out = _deviations(a, units.Pair(a), msg[:, :UNITS]), {}
     for i, f in enumerate(FIELDS):
         value, x, sd, bad, one_sided, _ = dev[f]
         m = msg[:, UNITS + 7 * i : UNITS + 7 * (i + 1)]

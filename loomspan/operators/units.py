@@ -15,6 +15,7 @@ own emission under the scores of its day, wherever the row is processed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -176,20 +177,29 @@ def _log10(x: np.ndarray) -> np.ndarray:
 
 
 class Pair:
-    """Volume and amount, tied by the price. States are pairs of powers of ten."""
+    """Volume and amount, tied by the price. States are pairs of powers of ten: the amount's units within the volume's."""
 
     states = np.array([(v, a) for v in VOLUME_UNITS for a in AMOUNT_UNITS], float)
     half = 10
+    fv, fa = states[:, 0], states[:, 1]
+    nv, na = len(VOLUME_UNITS), len(AMOUNT_UNITS)
 
     def __init__(self, a: Arrays):
-        self.fv, self.fa = self.states[:, 0], self.states[:, 1]
         o, c = a["open"], a["close"]
         self.lv, self.la = _log10(a["vol"]), _log10(a["amount"])
         self.lp = _log10((np.where(np.isnan(o), c, o) + np.where(np.isnan(c), o, c)) / 2)
-        self.hv, self.ha, dv, da = a["hv"], a["ha"], a["dv"], a["da"]
-        self.prior = _prior(self.hv, dv, VOLUME_UNITS)[:, [VOLUME_UNITS.index(int(x)) for x in self.fv]] + _prior(self.ha, da, AMOUNT_UNITS)[:, [AMOUNT_UNITS.index(int(x)) for x in self.fa]]
-        self.said = np.where(~np.isnan(self.hv), self.hv, dv), np.where(~np.isnan(self.ha), self.ha, da)
+        self.hv, self.ha, self.dv, self.da = a["hv"], a["ha"], a["dv"], a["da"]
+        self.said = np.where(~np.isnan(self.hv), self.hv, self.dv), np.where(~np.isnan(self.ha), self.ha, self.da)
         self.sd = np.clip(1.5 * np.where(np.isnan(a["sa"]), 0.07, a["sa"]), 0.002, 0.15)[:, None]
+        self.alone = np.flatnonzero(np.isnan(self.lv) & ~np.isnan(self.la))
+
+    @cached_property
+    def fixed(self) -> np.ndarray:
+        """What of the log-likelihoods does not depend on the level."""
+        e = _mix((self.la - self.lv - self.lp)[:, None] + (self.fa - self.fv), self.sd, 0.7)
+        e += np.repeat(_prior(self.hv, self.dv, VOLUME_UNITS), self.na, axis=1)
+        e += np.tile(_prior(self.ha, self.da, AMOUNT_UNITS), (1, self.nv))
+        return e
 
     def lead(self, state: np.ndarray | None = None) -> np.ndarray:
         """log10 of the volume in common units, as text and declarations have it or as decoded; the amount over the price stands in for it."""
@@ -198,10 +208,10 @@ class Pair:
         return np.where(np.isnan(x), self.la + a - self.lp, x)
 
     def emit(self, level: np.ndarray) -> np.ndarray:
-        e = self.prior + _mix(self.lv[:, None] + self.fv - level[:, None], 0.35, 1.0)
-        pair = self.la[:, None] + self.fa - self.lv[:, None] - self.fv - self.lp[:, None]
-        alone = np.where(np.isnan(self.lv)[:, None], self.la[:, None] + self.fa - self.lp[:, None] - level[:, None], np.nan)
-        return e + _mix(pair, self.sd, 0.7) + _mix(alone, 0.35, 1.0)
+        e = self.fixed + np.repeat(_mix((self.lv - level)[:, None] + np.array(VOLUME_UNITS, float), 0.35, 1.0), self.na, axis=1)
+        if len(k := self.alone):
+            e[k] += np.tile(_mix((self.la[k] - self.lp[k] - level[k])[:, None] + np.array(AMOUNT_UNITS, float), 0.35, 1.0), (1, self.nv))
+        return e
 
     def powers(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.where(np.isnan(self.hv), self.fv[state], self.hv), np.where(np.isnan(self.ha), self.fa[state], self.ha)
@@ -229,13 +239,12 @@ class Single:
         return (np.where(np.isnan(self.hint), self.f[state], self.hint),)
 
 
-def unit_messages(model: type, a: Arrays) -> np.ndarray:
+def unit_messages(m: Pair | Single, a: Arrays) -> np.ndarray:
     """[n, states + 1]: Viterbi scores of each representative's states without its own emission, and its entity's level.
 
     `a` is sorted by entity, day and source. The level starts from what text and declarations say and is
     taken once more from the decoded values.
     """
-    m = model(a)
     n = len(a["ent"])
     by_dev = np.lexsort((np.arange(n), a["src"], a["ent"]))
     e0, s0 = a["ent"][by_dev], a["src"][by_dev]
@@ -249,9 +258,8 @@ def unit_messages(model: type, a: Arrays) -> np.ndarray:
     return out
 
 
-def decode(model: type, a: Arrays, msg: np.ndarray) -> tuple[np.ndarray, ...]:
+def decode(m: Pair | Single, msg: np.ndarray) -> tuple[np.ndarray, ...]:
     """Powers of ten of each row by its own emission under its day's scores."""
-    m = model(a)
     return m.powers((msg[:, :-1] + m.emit(msg[:, -1])).argmax(1))
 
 
@@ -349,10 +357,10 @@ def common_units_daily(daily: DataFrame, feeds: DataFrame, floor: int = 200_000)
     side = (noise.select("_s", "sa"), small)
 
     def judge(a: Arrays, msg: np.ndarray) -> pd.DataFrame:
-        vp, ap = decode(Pair, a, msg)
+        vp, ap = decode(Pair(a), msg)
         return pd.DataFrame({"row_id": a["row_id"], "vol": a["vol"], "amount": a["amount"], "vp": vp, "ap": ap})
 
-    out = by_series(r, lambda a: unit_messages(Pair, a), len(Pair.states) + 1, judge, "row_id long, vol double, amount double, vp double, ap double", floor, side)
+    out = by_series(r, lambda a: unit_messages(Pair(a), a), len(Pair.states) + 1, judge, "row_id long, vol double, amount double, vp double, ap double", floor, side)
     nn = lambda c: F.when(~F.isnan(c), F.col(c))
     v, a = nn("vol"), nn("amount")
     has = lambda c: c.isNotNull() & (c != 0) & (F.abs(c) < float("inf"))
@@ -373,10 +381,10 @@ def common_units_value(basic: DataFrame, feeds: DataFrame, floor: int = 200_000)
     )
 
     def judge(a: Arrays, msg: np.ndarray) -> pd.DataFrame:
-        (p,) = decode(Single, a, msg)
+        (p,) = decode(Single(a), msg)
         return pd.DataFrame({"row_id": a["row_id"], "x": a["x"], "p": p})
 
-    out = by_series(r, lambda a: unit_messages(Single, a), len(Single.states) + 1, judge, "row_id long, x double, p double", floor)
+    out = by_series(r, lambda a: unit_messages(Single(a), a), len(Single.states) + 1, judge, "row_id long, x double, p double", floor)
     x = F.when(~F.isnan("x"), F.col("x"))
     p = F.when(x.isNotNull() & (x != 0) & (F.abs(x) < float("inf")), F.col("p").cast("int"))
     return out.select("row_id", p.alias("mv_power"), (x * F.pow(F.lit(10.0), F.coalesce(p, F.lit(0)))).alias("total_mv_10k"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,3 +179,42 @@ def composite(members: dict[str, DataFrame], weights: dict[str, float] | None =
         t = F.col(f"`{n}`") * (w[n] / total)
         expr = t if expr is None else expr + t
     return out.select(date, code, expr.alias("signal"))
+
+
+def composite_apply(members: dict[str, DataFrame], compute: Callable[[pd.DataFrame, dict], Sequence[float]], params: dict | None = None, date: str = "date", code: str = "code") -> DataFrame:
+    """A composite by a user's own function: compute(X, params) -> one value a row, for each date's cross-section.
+
+    X: the members' signals by name, over the keys that all share, indexed by code in order; non-finite signals are NaN. A result
+    of another length is an error; non-finite results are null. One date is one task's work: a cross-section is as long as there are codes.
+    """
+    wide = None
+    for name, m in members.items():
+        m = m.select(date, F.col(code).cast("string").alias(code), fin(F.col("signal")).alias(name))
+        wide = m if wide is None else wide.join(m, [date, code])
+    names, kw = list(members), dict(params or {})
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(code)
+        got = np.asarray(compute(g.set_index(code)[names].astype(float), kw), float)
+        if got.shape != (len(g),):
+            raise ValueError(f"compute gave {got.shape} for {len(g)} rows")
+        return pd.DataFrame({date: g[date].to_numpy(), code: g[code].to_numpy(), "signal": np.where(np.isfinite(got), got, np.nan)})
+
+    out = wide.groupBy(date).applyInPandas(one, f"`{date}` {dict(wide.dtypes)[date]}, `{code}` string, signal double")
+    return out.withColumn("signal", fin(F.col("signal")))
+
+
+def composite_report(composite_signal: DataFrame, members: dict[str, DataFrame], labels: DataFrame, label: str, date: str = "date", code: str = "code") -> DataFrame:
+    """(name, ic_mean, ic_ir, n_dates, lift_best, lift_equal) of the composite, each member and the equal-weight mean of their ranks.
+
+    lift_best and lift_equal: mean rank IC less that of the best member (by absolute mean) and of the equal-weight mean.
+    """
+    frames = {"composite": composite_signal, "equal": composite(members, rank=True, date=date, code=code), **members}
+    out = None
+    for name, f in frames.items():
+        ic = ic_series(f.select(date, code, "signal").join(labels.select(date, code, label), [date, code]), "signal", label, date)
+        g = ic.agg(F.lit(name).alias("name"), F.avg("rank_ic").alias("ic_mean"), fin(fdiv(F.avg("rank_ic"), F.stddev_samp("rank_ic"))).alias("ic_ir"), F.count("rank_ic").alias("n_dates"))
+        out = g if out is None else out.unionByName(g)
+    best = F.max_by(F.when(~F.col("name").isin("composite", "equal"), F.col("ic_mean")), F.when(~F.col("name").isin("composite", "equal"), F.abs("ic_mean"))).over(Window.partitionBy(F.lit(1)))
+    equal = F.max(F.when(F.col("name") == "equal", F.col("ic_mean"))).over(Window.partitionBy(F.lit(1)))
+    return out.select("*", (F.col("ic_mean") - best).alias("lift_best"), (F.col("ic_mean") - equal).alias("lift_equal"))

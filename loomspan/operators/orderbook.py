@@ -125,3 +125,32 @@ def ranked_audit(df: DataFrame, k: int, label: Column, score: str = "signal", da
     d = df.withColumn("_y", F.coalesce(label, F.lit(False)).cast("int")).withColumn("_k", F.row_number().over(w) <= k)
     g = d.groupBy(date).agg(F.sum(F.when(F.col("_k"), F.col("_y"))).alias("hit"), F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_k").cast("int")).alias("k"))
     return g.select(date, (F.col("hit") / F.col("k")).alias("precision"), F.when(F.col("pos") > 0, F.col("hit") / F.col("pos")).alias("recall"), F.when(F.col("pos") > 0, F.col("hit") / F.col("k") / (F.col("pos") / F.col("n"))).alias("lift"))
+
+
+def minute_checkpoints(orders: DataFrame, code: str = "code", day: str = "date", minute_ms: int = 60_000) -> DataFrame:
+    """What rests at a price level at the end of each minute in which it changed: (code, day, minute, side, price, level_qty).
+
+    A level keeps its quantity until its next row, so these rows are the whole book at any minute's end.
+    """
+    d = replay_levels(orders, code, day).withColumn("minute", F.floor(F.col("ms") / minute_ms).cast("int"))
+    at = F.struct("ms", order_priority(F.col("kind")), "seq")
+    return d.groupBy(code, day, "minute", "side", "price").agg(F.max_by("level_qty", at).alias("level_qty"))
+
+
+def near_best(levels: DataFrame, ticks: int, tick: float, by: Sequence[str], buy: str = "B") -> DataFrame:
+    """Levels at most `ticks` ticks from their side's best price among the levels of their group with something on them.
+
+    The best is the highest price of side `buy`, the lowest of the other. A group with nothing resting has no rows.
+    """
+    live = F.when(F.col("level_qty") > 0, F.col("price"))
+    w = Window.partitionBy(*by, "side")
+    best = F.when(F.col("side") == buy, F.max(live).over(w)).otherwise(F.min(live).over(w))
+    return levels.withColumn("best", best).where(F.abs(F.col("price") - F.col("best")) <= ticks * tick + 1e-9)
+
+
+def attribute_late(df: DataFrame, ts: str, arrival: str, width: str = "1 minute", limit: str = "500 milliseconds") -> DataFrame:
+    """Adds bucket and late: an event counts in the bucket of its own time, or, if it arrived more than `limit` after it, in
+    that of its arrival, so that buckets already given out never change. Works on streams too. Without an arrival an event is in time.
+    """
+    late = F.coalesce(F.col(arrival) > F.col(ts) + F.expr(f"interval {limit}"), F.lit(False))
+    return df.withColumn("late", late).withColumn("bucket", F.window(F.when(late, F.col(arrival)).otherwise(F.col(ts)), width)["start"])

@@ -32,6 +32,7 @@ class Spec:
     params: Mapping[str, object] = field(default_factory=dict)
     macros: Mapping[str, tuple] = field(default_factory=dict)
     horizon: int = 5
+    outputs: Sequence[str] = ()  # of a formula with several; none: its last assignment, as signal
 
     @classmethod
     def of(cls, d: Mapping[str, object]) -> Spec:
@@ -43,11 +44,23 @@ class Spec:
             raise ValueError("direction is 1 or -1")
         return s
 
+    @classmethod
+    def load(cls, path: str) -> Spec:
+        """From a JSON or, where the parser is installed, a YAML file."""
+        with open(path) as h:
+            text = h.read()
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return cls.of(yaml.safe_load(text))
+        return cls.of(json.loads(text))
+
 
 def run_factor(df: DataFrame, spec: Spec, code: str = "code", date: str = "date", price: str = "close") -> DataFrame:
     """Panel -> signal (processed) with its forward label; the date range cuts only at the end, so windows see all history.
 
-    Formula windows and labels use the whole history; the processing chain sees the universe's members only.
+    Formula windows and labels use the whole history; the processing chain sees the universe's members only. A spec with outputs
+    gives a column for each, processed by the same chain.
     """
     mask = None
     if spec.universe:
@@ -55,12 +68,14 @@ def run_factor(df: DataFrame, spec: Spec, code: str = "code", date: str = "date"
         df = df.join(members, [code, date])
         mask = F.col("in_universe")
     keep = [c for c in df.columns if c not in (code, date, "signal")]
-    s = formula.compute(df, spec.formula, code=code, date=date, mask=mask, params=spec.params, macros=spec.macros, keep=keep)
-    s = s.withColumnRenamed(s.columns[-1], "signal")
+    s = formula.compute(df, spec.formula, spec.outputs or None, code=code, date=date, mask=mask, params=spec.params, macros=spec.macros, keep=[c for c in keep if c not in spec.outputs])
+    if not spec.outputs:
+        s = s.withColumnRenamed(s.columns[-1], "signal")
     s = panel.forward_returns(s, F.col(price), (spec.horizon,), code, date)
     if mask is not None:
         s = s.where("in_universe")
-    s = process.run_chain(s, spec.process, date=date, code=code)
+    for out in spec.outputs or ("signal",):
+        s = process.run_chain(s, spec.process, signal=out, date=date, code=code)
     return tables.between(s, date, spec.start, spec.end)
 
 
@@ -129,11 +144,13 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     for f in a.plugin:
         load_plugin(f)
-    with open(a.spec) as h:
-        spec = Spec.of(json.load(h))
+    spec = Spec.load(a.spec)
     s = run_factor(spark.read.parquet(a.panel), spec)
-    tables.write_artifact(s.select("date", "code", "signal"), a.out, {"name": spec.name, "formula": spec.formula})
-    print(json.dumps(evaluate_factor(s, spec), default=str))
+    label = f"forward_return_{spec.horizon}d"
+    outs = spec.outputs or ("signal",)
+    tables.write_artifact(s.select("date", "code", *outs), a.out, {"name": spec.name, "formula": spec.formula}, {"labels": s.select("date", "code", label), "panel": s.select("date", "code", *outs, label)})
+    reports = {o: evaluate_factor(s.withColumn("signal", F.col(o)), spec) for o in outs}
+    print(json.dumps(reports if spec.outputs else reports["signal"], default=str))
     return 0
 
 

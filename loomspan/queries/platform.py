@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import dataflow, evaluate, execution, panel, portfolio, rules
+from loomspan.operators import dataflow, evaluate, execution, orderbook, panel, portfolio, rules
 from loomspan.plans import formula, run
 from loomspan.queries import panels
 from loomspan.queries.common import table
@@ -251,3 +251,46 @@ def rules_completeness(spark, sf_dir):
     have = table(spark, sf_dir, "daily").where("trade_date is not null").select(F.col("ts_code").alias("code"), F.col("trade_date").alias("date")).distinct()
     basic = table(spark, sf_dir, "instrument_basic").select(F.col("ts_code").alias("code"), F.lit("1900-01-01").cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
     return r6(rules.completeness(have, panel.skeleton(panel.calendar(table(spark, sf_dir, "trade_cal"), "cal_date", "is_open"), basic)))
+
+
+_BOOK = """o as (select user_id::varchar as code, ts::date as date, event_id as seq, floor((epoch_us(ts) / 1000) % 86400000)::bigint as ms, case when event_type in ('signup', 'purchase') then 0 when event_type = 'error' then 2 else 1 end as p, value, case when event_id % 2 = 0 then 'B' else 'S' end as side, 10.0 + floor(value) % 4 as price from events),
+lv as (select *, sum(case when p = 0 then value else -value end) over (partition by code, date, side, price order by ms, p, seq rows unbounded preceding) as q from o),
+cp as (select code, date, (ms // 3600000)::int as minute, side, price, arg_max(q, (ms, p, seq)) as level_qty from lv group by 1, 2, 3, 4, 5)"""
+
+
+@query(f"with {_BOOK} select code, date, minute, side, price, round(level_qty, 6) as level_qty from cp")
+def orderbook_checkpoints(spark, sf_dir):
+    """The book at the end of each hour."""
+    return r6(orderbook.minute_checkpoints(_orders(spark, sf_dir), minute_ms=3_600_000))
+
+
+@query(f"with {_BOOK}, b as (select *, case when side = 'B' then max(case when level_qty > 0 then price end) over w else min(case when level_qty > 0 then price end) over w end as best from cp window w as (partition by code, date, side)) select code, date, minute, side, price, best from b where abs(price - best) <= 1")
+def orderbook_band(spark, sf_dir):
+    d = orderbook.minute_checkpoints(_orders(spark, sf_dir), minute_ms=3_600_000)
+    return orderbook.near_best(d, 1, 1.0, ["code", "date"]).select("code", "date", "minute", "side", "price", "best")
+
+
+@query("""with a as (select event_id, ts, ts + (event_id % 1000) * interval 1 millisecond as arrival from events)
+select event_id, arrival > ts + interval 500 millisecond as late, time_bucket(interval '1 minute', case when arrival > ts + interval 500 millisecond then arrival else ts end) as bucket from a""")
+def stream_late(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("arrival", F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 1000) / 1000))
+    return orderbook.attribute_late(e, "ts", "arrival").select("event_id", "late", F.col("bucket").cast("timestamp_ntz").alias("bucket"))
+
+
+@query(f"""with {SIGNAL_SQL}, r as (select date, code, signal as a, close / open - 1 as b from s0)
+select date, code, round(a - avg(a) over (partition by date) + 0.5 * b, 6) as signal from r""")
+def analysis_composite_user(spark, sf_dir):
+    """A composite by a function of the caller's."""
+    d = _scored(spark, sf_dir)
+    other = d.withColumn("signal", F.col("close") / F.col("open") - 1)
+    made = evaluate.composite_apply({"a": d, "b": other}, lambda x, p: x["a"] - x["a"].mean() + p["k"] * x["b"], {"k": 0.5})
+    return r6(made.select("date", "code", "signal"))
+
+
+@query(f"""with {SIGNAL_SQL}, m as (select *, close / lag(close) over (partition by code order by date) - 1 as r1, close / open - 1 as r2 from s0)
+select code, date, round((r1 - avg(r1) over (partition by date)) / nullif(stddev_samp(r1) over (partition by date), 0), 6) as one, round((r2 - avg(r2) over (partition by date)) / nullif(stddev_samp(r2) over (partition by date), 0), 6) as two, round(f1, 6) as forward_return_1d from m""")
+def run_factor_outputs(spark, sf_dir):
+    """A factor run with two outputs of one formula and a label."""
+    df = panels.monthly(spark, sf_dir).withColumn("adj_close", F.col("close") * F.col("adj_factor"))
+    spec = run.Spec.of({"name": "f", "formula": "one = returns(close)\ntwo = close / open - 1", "outputs": ["one", "two"], "process": ["zscore"], "horizon": 1})
+    return r6(run.run_factor(df, spec, price="adj_close").select("code", "date", "one", "two", "forward_return_1d"))

@@ -146,11 +146,11 @@ def huber(df: DataFrame, features: Sequence[str], label: str, by: str, delta: fl
         if w is None:
             e = d.withColumn("_h", F.lit(1.0))
         else:
-            j = d.join(F.broadcast(w), by)
+            j = d.join(w, by)
             res = F.abs(F.col("_y") - F.aggregate(F.zip_with("_x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
             j = j.withColumn("_r", res)
             scale = j.groupBy(by).agg((1.4826 * F.percentile_approx("_r", F.lit(0.5), 1000)).alias("_s"))
-            e = j.join(F.broadcast(scale), by).withColumn("_h", F.when(F.col("_r") <= delta * F.col("_s"), 1.0).otherwise(delta * F.col("_s") / F.col("_r"))).drop("w")
+            e = j.join(scale, by).withColumn("_h", F.when(F.col("_r") <= delta * F.col("_s"), 1.0).otherwise(delta * F.col("_s") / F.col("_r"))).drop("w")
         z = [F.col("_x")[i] for i in range(k)] + [F.col("_y")]
         sums = e.groupBy(by).agg(F.array(*[F.sum(F.col("_h") * z[i] * z[j]) for i in range(k + 1) for j in range(i, k + 1)]).alias("m")).collect()
         w = spark.createDataFrame([(r[by], [float(v) for v in ridge(gram(r["m"], k + 1), alpha)]) for r in sums], f"{by} {groups}, w array<double>")

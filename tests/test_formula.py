@@ -186,3 +186,48 @@ def test_daily_fold_is_one_aggregation_where_it_can_be(spark):
         near = lambda d: sorted((r["code"], r["date"], *[None if r[n] is None else round(r[n], 9) for n in outs]) for r in d.collect())  # noqa: B023, E731
         assert near(fold) == near(wide)
         assert ("Window" in fold._jdf.queryExecution().optimizedPlan().toString()) == windows
+
+
+def test_chips_know_no_later_price():
+    from loomspan.functions.recursive import chips
+
+    rng = np.random.default_rng(5)
+    close = 10 + np.cumsum(rng.normal(0, 0.3, 50))
+    high, low, turn = close + rng.random(50), close - rng.random(50), rng.random(50) * 0.3
+    for part in ("winner", "cost"):
+        whole = chips([high, low, close, turn, close], part, 0.1, 1.0, 0.5)
+        for k in (10, 30, 49):
+            h = high.copy()
+            h[k] = 500.0  # a later extreme leaves all rows before it as they were
+            assert np.array_equal(whole[:k], chips([h, low, close, turn, close], part, 0.1, 1.0, 0.5)[:k])
+        assert np.array_equal(whole[:20], chips([x[:20] for x in (high, low, close, turn, close)], part, 0.1, 1.0, 0.5))
+    # one row: all chips lie within the day's range
+    one = lambda x, part: chips([np.array([v]) for v in (12.0, 10.0, 11.0, 0.5, x)], part, 0.1, 1.0, 0.5)[0]
+    assert one(12.0, "winner") == 1.0 and one(9.9, "winner") == 0.0 and abs(one(11.0, "winner") - 0.5) < 0.05 and abs(one(11.0, "cost") - 11.0) < 0.11
+    # the same distribution by brute force on a fixed grid
+    grid = np.arange(0, 400) * 0.1
+    held = np.zeros(400)
+    for i in range(50):
+        inside = (grid >= low[i] - 1e-9) & (grid <= high[i] + 1e-9)
+        w = np.where(inside, np.maximum(1e-9, 1 - np.abs(grid - close[i]) / (high[i] - low[i])), 0)
+        held = held * (1 - turn[i]) + turn[i] * w / w.sum() if held.any() else w / w.sum()
+    assert abs(chips([high, low, close, turn, close], "winner", 0.1, 1.0, 0.5)[-1] - held[grid <= close[-1] + 1e-9].sum()) < 1e-9
+
+
+def test_rolling_regressions_keep_their_digits():
+    rng = np.random.default_rng(6)
+    x, z = 1e8 + rng.normal(0, 1, 60), rng.normal(0, 1, 60)
+    y = 3 * (x - 1e8) + 2 * z + rng.normal(0, 0.9, 60)
+    y[7] = np.nan
+    for d in (20, 0):
+        got = rolling_ols([y, x, z], d, "resid")
+        for i in range(60):
+            rows = [j for j in range(max(0, i - d + 1) if d else 0, i + 1) if not np.isnan(y[j])]
+            if np.isnan(y[i]) or (len(rows) < d if d else len(rows) < 3):
+                assert np.isnan(got[i])
+            elif len(rows) > 4:
+                m = np.column_stack([np.ones(len(rows)), x[rows] - 1e8, z[rows]])
+                want = y[i] - m[-1] @ np.linalg.lstsq(m, y[rows], rcond=None)[0]
+                assert abs(got[i] - want) < 1e-6
+    flat = rolling_ols([y, np.full(60, 5.0)], 10, "pred")
+    assert abs(flat[40] - y[31:41].mean()) < 1e-9

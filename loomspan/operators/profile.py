@@ -129,9 +129,10 @@ def statistics(counts: DataFrame, by: Sequence[str], commonest: int = 20) -> Dat
 
 
 def _levels(counts: DataFrame, *keep: str) -> DataFrame:
+    """Each mask at each level of generalisation: (keep..., field, n, level, floor, mask)."""
     level = lambda cs, floors: F.array(*[F.struct(F.lit(i).alias("level"), F.lit(f).alias("floor"), c.alias("mask")) for i, (c, f) in enumerate(zip(cs, floors, strict=True))])
     up = F.when(F.col("num"), level(number_levels(F.col("mask")), NUMBER_LEVELS)).otherwise(level(text_levels(F.col("mask")), TEXT_LEVELS))
-    return counts.select(*keep, "field", "n", F.explode(up).alias("_c")).groupBy(*keep, "field", "_c.level", "_c.floor", "_c.mask").agg(F.sum("n").alias("n"))
+    return counts.select(*keep, "field", "n", F.explode(up).alias("_c")).select(*keep, "field", "n", "_c.level", "_c.floor", "_c.mask")
 
 
 def mine_patterns(counts: DataFrame, segment: str, load: str, dominant: float = 0.02) -> DataFrame:
@@ -143,9 +144,10 @@ def mine_patterns(counts: DataFrame, segment: str, load: str, dominant: float =
     joined back by mask, so a segment with most of the loads is no single task; only the masks of one load or of one
     segment (without its loads) share a window.
     """
-    c = _levels(counts.repartition(F.col(segment), F.col(load), F.col("field")), segment, load)
+    each = _levels(counts.repartition(F.col(segment), F.col(load), F.col("field")), segment, load)
+    c = each.groupBy(segment, load, "field", "level", "floor", "mask").agg(F.sum("n").alias("n"))
     c = c.withColumn("_t", F.sum("n").over(Window.partitionBy(segment, load, "field", "level")))
-    s = _levels(counts, segment).withColumn("_all", F.sum("n").over(Window.partitionBy(segment, "field", "level")))
+    s = each.groupBy(segment, "field", "level", "mask").agg(F.sum("n").alias("n")).withColumn("_all", F.sum("n").over(Window.partitionBy(segment, "field", "level")))
     s = s.select(F.col(segment).alias("_g"), F.col("field").alias("_f"), F.col("level").alias("_l"), F.col("mask").alias("_m"), F.col("n").alias("_s"), "_all")
     c = c.join(s, c[segment].eqNullSafe(s["_g"]) & (c["field"] == s["_f"]) & (c["level"] == s["_l"]) & (c["mask"] == s["_m"]))
     others = F.when(F.col("_all") > F.col("_t"), (F.col("_s") - F.col("n")) / (F.col("_all") - F.col("_t")))

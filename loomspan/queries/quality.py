@@ -148,4 +148,4 @@ def p5_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_statistics, p1_masks, p3_found, p3_remarks, p4_found, p4_differences, p5_found, p5_states, p6_found, p7_found, p7_trailing, p7_shares)}
-ORACLE = {"p1_found": sql.P1, "p1_statistics": sql.P1_STATISTICS, "p1_masks": sql.P1_MASKS, "p4_found": sql.P4, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}
+ORACLE = {"p1_found": sql.P1, "p1_statistics": sql.P1_STATISTICS, "p1_masks": sql.P1_MASKS, "p4_found": sql.P4, "p4_differences": sql.P4_ALL, "p6_found": sql.P6, "p7_found": sql.P7, "p7_trailing": sql.P7_ALL}

@@ -101,6 +101,11 @@ cells as (
 select concat_ws('.', nullif(cells.digits, ''), nullif(ex, '')) as ts_code, (year(day) * 10000 + month(day) * 100 + day(day))::bigint as ymd, field from cells left join names on cells.digits is not distinct from names.digits
 """
 
+P4_ALL = P4
+for _f, _c in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c")):
+    P4_ALL = P4_ALL.replace(f"'{_f}' from j", f"'{_f}', {_c}1, {_c}2 from j")
+P4_ALL = P4_ALL.replace("'missing_in_mirror' as field from j", "'missing_in_mirror' as field, null::double as left_value, null::double as right_value from j").replace("'missing_in_daily' from j", "'missing_in_daily', null, null from j").replace("::bigint as ymd, field from cells", "::bigint as ymd, field, left_value, right_value from cells")
+
 P6 = """
 with e as (select row_id, ts_code, trade_date, trade_date::timestamp + interval 15 hour as t from daily),
 k as (select distinct ts_code, trade_date, t from e),

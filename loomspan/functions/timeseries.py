@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.numeric import col, dbl, fdiv, flog, full, rows, running
+from loomspan.functions.numeric import NAN, col, dbl, fdiv, flog, full, rows, running
 from loomspan.functions.registry import Context, factor_op
 
 
@@ -124,9 +124,15 @@ def pairs(*xs) -> tuple[list[Column], Column]:
     return [F.when(ok, dbl(x)) for x in xs], ok
 
 
+def over_spread(a: Column, b: Column) -> Column:
+    """A window's co-movement a over its spread b: 0 / 0, so NaN, where nothing moves. ANSI division, that of F.corr too, raises there."""
+    return F.coalesce(F.try_divide(a, b), F.lit(NAN))
+
+
 def corr(c, x, y, d) -> Column:
     (x, y), _ = pairs(x, y)
-    return full(x, c.ts, int(d), F.corr(x, y).over(rows(c.ts, int(d))))
+    w = rows(c.ts, int(d))
+    return full(x, c.ts, int(d), over_spread(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)))
 
 
 def cov(c, x, y, d, ddof=1) -> Column:
@@ -171,7 +177,7 @@ ts("ts_partial_corr", 4, 5, 3)(partial_corr)
 def slope(c, y, x, d) -> tuple[Column, Column]:
     (y, x), _ = pairs(y, x)
     w = rows(c.ts, int(d))
-    s = full(x, c.ts, int(d), F.covar_pop(y, x).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0)))
+    s = full(x, c.ts, int(d), over_spread(F.covar_pop(y, x).over(w), F.var_pop(x).over(w)))
     return s, F.avg(y).over(w) - s * F.avg(x).over(w)
 
 

@@ -231,3 +231,14 @@ def test_rolling_regressions_keep_their_digits():
                 assert abs(got[i] - want) < 1e-6
     flat = rolling_ols([y, np.full(60, 5.0)], 10, "pred")
     assert abs(flat[40] - y[31:41].mean()) < 1e-9
+
+
+def test_windows_in_which_nothing_moves(spark):
+    """Volume stands still, from the first rows on: 0 / 0, as in SQL, also with windows that are not full yet."""
+    rows = [("a", dt.date(2024, 1, i), float(i * i), 7.0 if i < 6 else float(i)) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "code string, date date, close double, volume double")
+    got = fm.compute(df, "a = ts_corr(close, volume, 3)\nb = ts_regression_slope(close, volume, 3)\nc = ts_covariance(close, volume, 3)", ["a", "b", "c"]).orderBy("date").collect()
+    assert [tuple(r[k] for k in "abc") for r in got[:2]] == [(None,) * 3] * 2
+    assert all(np.isnan(r["a"]) and np.isnan(r["b"]) and r["c"] == 0 for r in got[2:5])
+    last = got[-1]
+    assert (last["a"], last["b"], last["c"]) == pytest.approx((np.corrcoef([49, 64, 81], [7, 8, 9])[0, 1], 16, 16))

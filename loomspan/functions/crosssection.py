@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, Window
@@ -16,22 +17,30 @@ def cs(name: str, least: int = 1, most: int | None = -1, masked: tuple[int, ...]
 
 
 class Section:
-    """Aggregates over the rows of a section; observations are finite values."""
+    """Aggregates over the rows of a section; observations are finite values.
 
-    def __init__(self, *keys: Column):
+    hold: keeps a value as a column, so that what names it again does not compute it again.
+    """
+
+    def __init__(self, *keys: Column, hold: Callable[[Column], Column] = lambda c: c):
         self.keys = list(keys)
         self.w = Window.partitionBy(*keys)
+        self.hold = hold
+
+    def over(self, agg: Column) -> Column:
+        return self.hold(agg.over(self.w))
 
     def mean(self, x: Column) -> Column:
-        return F.avg(x).over(self.w)
+        return self.over(F.avg(x))
 
     def std(self, x: Column) -> Column:
-        return F.stddev_samp(x).over(self.w)
+        return self.over(F.stddev_samp(x))
 
     def q(self, x: Column, p: float) -> Column:
-        return F.percentile(x, float(p)).over(self.w)
+        return self.over(F.percentile(x, float(p)))
 
     def zscore(self, x: Column) -> Column:
+        x = self.hold(x)
         s = self.std(x)
         return F.when(s > 0, (x - self.mean(x)) / s)
 
@@ -42,13 +51,13 @@ class Section:
         """Fitted value of y on x with intercept, over rows where both are present."""
         both = x.isNotNull() & y.isNotNull()
         x2, y2 = F.when(both, x), F.when(both, y)
-        slope = F.covar_samp(y2, x2).over(self.w) / F.nullif(F.var_samp(x2).over(self.w), F.lit(0.0))
+        slope = self.over(F.covar_samp(y2, x2)) / F.nullif(self.over(F.var_samp(x2)), F.lit(0.0))
         slope = F.coalesce(slope, F.lit(0.0))
         return F.when(both, self.mean(y2) + slope * (x2 - self.mean(x2)))
 
 
 def sec(ctx: Context) -> Section:
-    return Section(*ctx.cs)
+    return Section(*ctx.cs, hold=ctx.hold)
 
 
 cs("cs_mean")(lambda c, x: sec(c).mean(fin(x)))
@@ -64,6 +73,7 @@ cs("cs_fill_null", 1, 2)(lambda c, x, v=0.0: F.coalesce(fin(x), dbl(v)))
 
 def mad_clip(s: Section, x: Column, n: float = 3.0, k: float = 1.4826) -> Column:
     """x within median +- n * k * MAD of its section."""
+    x = s.hold(x)
     med = s.q(x, 0.5)
     mad = s.q(F.abs(x - med), 0.5)
     return s.clip(x, med - n * k * mad, med + n * k * mad)
@@ -73,6 +83,11 @@ cs("cs_mad", 1, 3)(lambda c, x, n=3.0, k=1.4826: mad_clip(sec(c), fin(x), float(
 cs("cs_mad_zscore")(lambda c, x: sec(c).zscore(mad_clip(sec(c), fin(x))))
 
 
+def swept(s: Section, y: Column, b: Column) -> Column:
+    """y without its part along b; all of it where b has no length."""
+    return s.hold(y - F.coalesce(s.over(F.sum(y * b)) / F.nullif(s.over(F.sum(b * b)), F.lit(0.0)), F.lit(0.0)) * b)
+
+
 def residual(s: Section, y: Column, xs: list[Column]) -> Column:
     """Least-squares residual with intercept on any number of regressors, by successive orthogonalisation:
 
@@ -81,35 +96,34 @@ def residual(s: Section, y: Column, xs: list[Column]) -> Column:
     the plan stays in the JVM. Rows with anything missing are left out. A
     regressor that is constant given the others sweeps nothing.
     """
-    present = reduce(lambda a, b: a & b, [v.isNotNull() for v in [y, *xs]])
-    y, xs = F.when(present, y), [F.when(present, v) for v in xs]
+    y, xs = s.hold(y), [s.hold(x) for x in xs]
+    present = s.hold(reduce(lambda a, b: a & b, [v.isNotNull() for v in [y, *xs]]))
+    y, xs = s.hold(F.when(present, y)), [s.hold(F.when(present, v)) for v in xs]
     basis: list[Column] = []
     for x in xs:
-        r = x - s.mean(x)
+        centred = r = s.hold(x - s.mean(x))
         for b in basis:
-            r = r - F.coalesce(F.sum(r * b).over(s.w) / F.nullif(F.sum(b * b).over(s.w), F.lit(0.0)), F.lit(0.0)) * b
-        scale = F.sum((x - s.mean(x)) * (x - s.mean(x))).over(s.w)
-        basis.append(F.when(F.sum(r * r).over(s.w) > 1e-18 * scale, r).otherwise(F.when(present, 0.0)))
-    out = y - s.mean(y)
+            r = swept(s, r, b)
+        basis.append(s.hold(F.when(s.over(F.sum(r * r)) > 1e-18 * s.over(F.sum(centred * centred)), r).otherwise(F.when(present, 0.0))))
+    out = s.hold(y - s.mean(y))
     for b in basis:
-        out = out - F.coalesce(F.sum(out * b).over(s.w) / F.nullif(F.sum(b * b).over(s.w), F.lit(0.0)), F.lit(0.0)) * b
+        out = swept(s, out, b)
     return out
 
 
 def weighted_residual(s: Section, w: Column, y: Column, xs: list[Column]) -> Column:
     """Residual of weighted least squares: the plain one of rows scaled by sqrt(w), intercept included, scaled back."""
-    present = reduce(lambda a, b: a & b, [v.isNotNull() for v in [w, y, *xs]]) & (w > 0)
-    r = F.when(present, F.sqrt(w))
-    cols = [r, *[F.when(present, x) * r for x in xs]]
+    w, y, xs = s.hold(w), s.hold(y), [s.hold(x) for x in xs]
+    present = s.hold(reduce(lambda a, b: a & b, [v.isNotNull() for v in [w, y, *xs]]) & (w > 0))
+    r = s.hold(F.when(present, F.sqrt(w)))
     basis: list[Column] = []
-    for x in cols:
-        q = x
+    for x in [r, *[s.hold(F.when(present, x) * r) for x in xs]]:
         for b in basis:
-            q = q - F.coalesce(F.sum(q * b).over(s.w) / F.nullif(F.sum(b * b).over(s.w), F.lit(0.0)), F.lit(0.0)) * b
-        basis.append(q)
-    out = F.when(present, y) * r
+            x = swept(s, x, b)
+        basis.append(x)
+    out = s.hold(F.when(present, y) * r)
     for b in basis:
-        out = out - F.coalesce(F.sum(out * b).over(s.w) / F.nullif(F.sum(b * b).over(s.w), F.lit(0.0)), F.lit(0.0)) * b
+        out = swept(s, out, b)
     return out / r
 
 

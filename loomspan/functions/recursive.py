@@ -48,11 +48,13 @@ def ewm_block(chain: np.ndarray, x: np.ndarray, alpha: float, seed: int = 1) ->
 
 @dataclass
 class Stage:
+    """kernel None: the input itself, computed once and kept as a column."""
+
     name: str
-    kernel: str
+    kernel: str | None
     inputs: list[Column]
     params: tuple
-    depth: int
+    needs: frozenset[str]
 
 
 @dataclass
@@ -63,12 +65,18 @@ class StagedContext(Context):
     known: dict = field(default_factory=dict)
 
     def stage(self, kernel: str, inputs: list[Column], *params) -> Column:
-        inputs = [dbl(i) for i in inputs]
+        return self._stage(kernel, [dbl(i) for i in inputs], params)
+
+    def hold(self, c: Column) -> Column:
+        """c as a column of its own. Spark computes a window once for each time it is written, and an operator that names
+        a windowed value several times, itself made of such values, writes it once for each path through them."""
+        return self._stage(None, [c], ())
+
+    def _stage(self, kernel: str | None, inputs: list[Column], params: tuple) -> Column:
         key = (kernel, tuple(str(i) for i in inputs), params)
         if key not in self.known:
             text = " ".join(key[1])
-            depth = 1 + max((s.depth for s in self.stages if f"{s.name}" in text), default=0)
-            s = Stage(f"__seq{len(self.stages):03d}__", kernel, inputs, params, depth)
+            s = Stage(f"__seq{len(self.stages):03d}__", kernel, inputs, params, frozenset(s.name for s in self.stages if s.name in text))
             self.stages.append(s)
             self.known[key] = F.col(s.name)
         return self.known[key]
@@ -198,9 +206,15 @@ def rolling_ols(a, d: int, out: str, block: int = 4096):
 
 
 def run_stages(df: DataFrame, ctx: StagedContext) -> DataFrame:
-    """Adds the column of every collected stage to `df`, one pass per dependency depth."""
-    for depth in sorted({s.depth for s in ctx.stages}):
-        todo = [s for s in ctx.stages if s.depth == depth]
+    """Adds the column of every collected stage to `df`: kernels that can run share a pass and go before held columns, which they would carry."""
+    left = list(ctx.stages)
+    while left:
+        can = [s for s in left if s.needs.isdisjoint(x.name for x in left)]
+        todo = [s for s in can if s.kernel is not None] or can
+        left = [s for s in left if s not in todo]
+        if todo[0].kernel is None:
+            df = df.withColumns({s.name: s.inputs[0] for s in todo})
+            continue
         ins = {f"__in{i}_{j}__": c for i, s in enumerate(todo) for j, c in enumerate(s.inputs)}
         fed = df.withColumns(ins).repartition(ctx.code).sortWithinPartitions(ctx.code, ctx.date)
         keep = df.columns

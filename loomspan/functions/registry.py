@@ -24,6 +24,10 @@ class Context:
     def ts(self) -> WindowSpec:
         return Window.partitionBy(self.code).orderBy(self.date)
 
+    def hold(self, c: Column) -> Column:
+        """c, where a context can compute it once for all of its uses."""
+        return c
+
     @property
     def cs(self) -> list[Column]:
         return [F.col(self.date)]

@@ -146,18 +146,18 @@ ts("ts_covariance ts_COVAR", 2, 5, 2)(lambda c, x, y, d=5, ddof=1, *_: cov(c, x,
 
 def central(c, xs, d, powers) -> Column:
     """Mean over the last d rows of the product of centred series to powers; the window's own means."""
-    vs, _ = pairs(*xs)
+    vs, ok = pairs(*xs)
     d = int(d)
-    arr = F.collect_list(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(vs)])).over(rows(c.ts, d))
-    arr = F.filter(arr, lambda s: reduce(lambda a, b: a & b, [s[f"v{i}"].isNotNull() for i in range(len(vs))]))
-    n = F.size(arr)
+    # held once for all powers: the window's list and the mean of each series over it
+    arr = c.hold(F.collect_list(F.when(ok, F.struct(*[v.alias(f"v{i}") for i, v in enumerate(vs)]))).over(rows(c.ts, d)))
+    n = F.nullif(F.size(arr), F.lit(0))
 
     def mean_of(i: int) -> Column:
-        return F.aggregate(arr, F.lit(0.0), lambda a, s: a + s[f"v{i}"]) / F.nullif(n, F.lit(0))
+        return c.hold(F.aggregate(arr, F.lit(0.0), lambda a, s: a + s[f"v{i}"]) / n)
 
     mean = [mean_of(i) for i in range(len(vs))]
     prod = lambda s: reduce(lambda a, b: a * b, [F.pow(s[f"v{i}"] - mean[i], F.lit(float(p))) for i, p in enumerate(powers)])
-    return full(vs[0], c.ts, d, F.aggregate(arr, F.lit(0.0), lambda a, s: a + prod(s)) / F.nullif(n, F.lit(0)))
+    return c.hold(full(vs[0], c.ts, d, F.aggregate(arr, F.lit(0.0), lambda a, s: a + prod(s)) / n))
 
 
 ts("ts_moment", 2, 4)(lambda c, x, d, k=2, *_: central(c, [x], d, [k]))
@@ -167,7 +167,7 @@ ts("ts_triple_corr", 4, 5, 3)(lambda c, x, y, z, d, *_: fdiv(central(c, [x, y, z
 
 
 def partial_corr(c, x, y, z, d, *_) -> Column:
-    xy, xz, yz = corr(c, x, y, d), corr(c, x, z, d), corr(c, y, z, d)
+    xy, xz, yz = (c.hold(corr(c, a, b, d)) for a, b in ((x, y), (x, z), (y, z)))
     return fdiv(xy - xz * yz, F.sqrt((1 - xz * xz) * (1 - yz * yz)))
 
 
@@ -177,7 +177,7 @@ ts("ts_partial_corr", 4, 5, 3)(partial_corr)
 def slope(c, y, x, d) -> tuple[Column, Column]:
     (y, x), _ = pairs(y, x)
     w = rows(c.ts, int(d))
-    s = full(x, c.ts, int(d), over_spread(F.covar_pop(y, x).over(w), F.var_pop(x).over(w)))
+    s = c.hold(full(x, c.ts, int(d), over_spread(F.covar_pop(y, x).over(w), F.var_pop(x).over(w))))
     return s, F.avg(y).over(w) - s * F.avg(x).over(w)
 
 

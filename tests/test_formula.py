@@ -258,3 +258,19 @@ def test_cross_sections_compute_each_window_once(panel):
     for rs in by.values():
         z = np.array([r["a"] for r in rs if r["a"] is not None])
         assert z.mean() == pytest.approx(0, abs=1e-9) and z.std(ddof=1) == pytest.approx(1)
+
+
+def test_comoments_where_a_series_stands_still(spark):
+    """Windows without movement give NaN, gaps leave the window short."""
+    rows = [("a", dt.date(2024, 1, i), None if i == 6 else float(i * i), 7.0 if i < 5 else float(i % 3), float(i % 4)) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "code string, date date, x double, y double, z double")
+    text = "a = ts_co_skewness(x, y, 4)\nb = ts_co_kurtosis(x, y, 4)\nc = ts_triple_corr(x, y, z, 4)\nd = ts_partial_corr(x, y, z, 4)"
+    out = fm.compute(df, text, list("abcd"))
+    got = [tuple(r[k] for k in "abcd") for r in out.orderBy("date").collect()]
+    assert got[:3] == [(None,) * 4] * 3 and got[5:9] == [(None,) * 4] * 4
+    assert np.isnan(got[3]).all()
+    x, y, z = (np.array([r[k] for r in rows[7:]]) - np.mean([r[k] for r in rows[7:]]) for k in (2, 3, 4))
+    m = lambda *v: np.mean(np.prod(v, axis=0))
+    r = lambda u, v: np.corrcoef(u, v)[0, 1]
+    sx, sy, sz = m(x, x), m(y, y), m(z, z)
+    assert got[-1] == pytest.approx((m(x, y, y) / (sx**0.5 * sy), m(x, y, y, y) / (sx**0.5 * sy**1.5), m(x, y, z) / (sx * sy * sz) ** 0.5, (r(x, y) - r(x, z) * r(y, z)) / ((1 - r(x, z) ** 2) * (1 - r(y, z) ** 2)) ** 0.5))

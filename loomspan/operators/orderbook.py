@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.numeric import fdiv
+
 ADD, FILL, CANCEL = "add", "fill", "cancel"
 PRIORITY = {ADD: 0, FILL: 1, CANCEL: 2}
 
@@ -70,14 +72,15 @@ def replay_fifo(events: DataFrame, code: str = "code", day: str = "date") -> Dat
 
 
 def day_stats(events: DataFrame, code: str = "code", day: str = "date", large: float = 0.9) -> DataFrame:
-    """Per code and day: events by kind, quantities, 1-second bursts, gaps between fills, share of large fills."""
+    """Per code and day: events by kind, quantities, 1-second bursts, gaps between fills, share of large fills (NaN where fills sum to 0)."""
     kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in PRIORITY]
     base = events.groupBy(code, day).agg(*kinds, F.sum(F.when(F.col("kind") == FILL, F.col("qty"))).alias("filled"), F.percentile(F.when(F.col("kind") == FILL, F.col("qty").cast("double")), large).alias("large_at"))
     burst = events.groupBy(code, day, F.floor(F.col("ms") / 1000).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy(code, day).agg(F.max("n").alias("max_burst"), F.avg("n").alias("mean_burst"))
     w = Window.partitionBy(code, day).orderBy("ms", "seq")
     fills = events.where(F.col("kind") == FILL).withColumn("gap", F.col("ms") - F.lag("ms").over(w))
     g = fills.groupBy(code, day).agg(F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
-    big = events.where(F.col("kind") == FILL).join(base.select(code, day, "large_at"), [code, day]).groupBy(code, day).agg((F.sum(F.when(F.col("qty") >= F.col("large_at"), F.col("qty"))) / F.sum("qty")).alias("large_share"))
+    big = events.where(F.col("kind") == FILL).join(base.select(code, day, "large_at"), [code, day]).groupBy(code, day).agg(F.sum(F.when(F.col("qty") >= F.col("large_at"), F.col("qty"))).alias("_large"), F.sum("qty").alias("_all"))
+    big = big.select(code, day, fdiv(F.col("_large"), F.col("_all")).alias("large_share"))
     return base.join(burst, [code, day], "left").join(g, [code, day], "left").join(big, [code, day], "left")
 
 

@@ -125,3 +125,18 @@ def test_chips_keep_their_step_over_a_wide_price_range():
     for part in ("winner", "cost"):
         alone, after = (recursive.chips(np.array(x).T, part, 0.1, 1.0, 0.5)[-1] for x in ([near], [far, near]))
         assert abs(alone - after) <= 0.1 and 0 < after != 10.0
+
+
+def test_day_stats_of_fills_without_quantity(spark, tmp_path):
+    """A day whose fills are all of quantity 0 has 0 / 0 as its share of large fills, as in SQL; the other days keep theirs."""
+    from loomspan.queries import research
+    from tests.oracle import connect, differences
+
+    at = lambda d, s: dt.datetime(2024, 1, d, 10, 0, s)
+    rows = [(1, at(1, 0), 5, "view", 0.0), (2, at(1, 1), 5, "signup", 3.0), (3, at(2, 0), 5, "view", 0.0), (4, at(2, 1), 5, "click", 4.0), (5, at(3, 1), 5, "error", 2.0), (6, at(1, 1), 6, "view", 2.0), (7, at(1, 1), 6, "view", 0.0)]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").toPandas().astype({"ts": "datetime64[us]"}).to_parquet(path)
+    got = {(r["code"], r["date"].day): r["large_share"] for r in research.orderbook_day_stats(spark, str(tmp_path)).collect()}
+    assert math.isnan(got.pop(("5", 1))) and got == {("5", 2): 1.0, ("5", 3): None, ("6", 1): 1.0}
+    more, less = differences(spark, connect(str(tmp_path)), str(tmp_path), research.orderbook_day_stats, research.ORACLE["orderbook_day_stats"])
+    assert not more and not less, (more, less)
